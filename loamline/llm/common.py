@@ -113,23 +113,21 @@ def shingles(text: bytes, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- connected classes
 
 
-def connected(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node of each connected class.
+def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, label) for every node of links (a long, b long): label is the smallest node of its connected class.
 
-    nodes: (node long); links: (a long, b long). Every round takes the smallest label of the neighbours (partial
-    aggregation first, so hubs are no hot spot) and then jumps to the label's label; only a count reaches the driver.
+    Every round takes the smallest label of the neighbours (with partial aggregation, so that a hub is no hot spot) and
+    then jumps to that label's own label; only whether anything moved reaches the driver.
     """
     both = stash(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    touched = both.select(F.col("a").alias("node")).distinct()
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    labels = stash(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        new = stash(step.join(jump, "low", "left").select("node", F.coalesce(F.least("low", "far"), "low").alias("label"), (F.coalesce(F.least("low", "far"), "low") != F.col("label")).alias("moved")))
+        lower = F.least("low", F.coalesce("far", "low"))
+        new = stash(step.join(jump, "low", "left").select("node", lower.alias("label"), (lower < F.col("label")).alias("moved")))
         labels = new.select("node", "label")
         if new.filter("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError("classes did not settle")
-    return nodes.join(touched, "node", "left_anti").select("node", F.col("node").alias("label")).union(labels.join(nodes, "node", "left_semi"))
+            return labels
+    raise RuntimeError("classes did not settle")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .near_dedup import near_duplicates
 from .substring_dedup import remove_repeats
 
 
@@ -13,5 +14,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
 
 
-QUERIES = {"op6_substring_dedup": op6_substring_dedup}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_substring_dedup": op6_substring_dedup, "op9_near_dedup": op9_near_dedup}
 ORACLES: dict[str, str] = {}
