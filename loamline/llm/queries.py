@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .substring_dedup import remove_repeats
 
@@ -18,5 +19,9 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_substring_dedup": op6_substring_dedup, "op9_near_dedup": op9_near_dedup}
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+QUERIES = {"op5_source_mixing": op5_source_mixing, "op6_substring_dedup": op6_substring_dedup, "op9_near_dedup": op9_near_dedup}
 ORACLES: dict[str, str] = {}
