@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .quality import score
 from .substring_dedup import remove_repeats
 
 
@@ -23,5 +24,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {"op5_source_mixing": op5_source_mixing, "op6_substring_dedup": op6_substring_dedup, "op9_near_dedup": op9_near_dedup}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op5_source_mixing": op5_source_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
+}
 ORACLES: dict[str, str] = {}
