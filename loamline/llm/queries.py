@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .pii import detect
 from .quality import score
 from .substring_dedup import remove_repeats
 
@@ -28,7 +29,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_pii": op3_pii,
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_near_dedup": op9_near_dedup,
