@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .packing import best_fit
 from .pii import detect
 from .quality import score
 from .substring_dedup import remove_repeats
@@ -29,11 +30,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_bestfit_packing": op2_bestfit_packing,
     "op3_pii": op3_pii,
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
