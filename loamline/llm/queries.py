@@ -11,6 +11,7 @@ from .packing import best_fit
 from .pii import detect
 from .quality import score
 from .substring_dedup import remove_repeats
+from .vectors import exact_top, nearest
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,14 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op8_exact_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top(table(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -41,9 +50,25 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_bestfit_packing": op2_bestfit_packing,
     "op3_pii": op3_pii,
+    "op4_vector_neighbours": op4_vector_neighbours,
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_exact_top": op8_exact_top,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
+
+ORACLES["op8_exact_top"] = """
+WITH parts AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), bad AS (SELECT DISTINCT vec_id FROM parts WHERE x IS NULL OR NOT isfinite(x)),
+ints AS (
+  SELECT vec_id, pos, floor(256 * x)::BIGINT AS x FROM parts WHERE vec_id NOT IN (SELECT vec_id FROM bad)
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, sum(q.x * v.x)::BIGINT AS score
+  FROM ints q JOIN ints v ON q.pos = v.pos AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
