@@ -1,0 +1,60 @@
+"""Read-only SQL over named tables: one SELECT statement, a row cap, a deadline."""
+
+from __future__ import annotations
+
+import re
+import threading
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_FORBIDDEN = re.compile(r"--|/\*|\b(attach|detach|pragma|vacuum|load_extension)\b", re.I)
+_QUOTED = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|\[[^\]]*\]")
+
+
+def check(sql: str) -> str:
+    """The statement without its closing semicolon, or ValueError if it is not a single plain SELECT."""
+    body = sql.strip().rstrip(";").strip()
+    if not re.match(r"(select|with)\b", body, re.I):
+        raise ValueError("only SELECT statements are allowed")
+    if _FORBIDDEN.search(body):
+        raise ValueError("comments and administrative statements are not allowed")
+    if ";" in _QUOTED.sub("", body):
+        raise ValueError("only one statement is allowed")
+    return body
+
+
+def read_only_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame], limit: int = 200) -> DataFrame:
+    """The statement's rows, at most `limit` (1 to 10000) of them; the named tables are all it is given.
+
+    The parsed plan must be a query: anything that Spark would run as a command is refused before it runs.
+    """
+    body = check(sql)
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
+    if re.search(r"Command|InsertInto|^Create|^Drop|^Merge|^Update|^Delete", plan.nodeName()):
+        raise ValueError("only SELECT statements are allowed")
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(body).limit(max(1, min(int(limit), 10_000)))
+
+
+def collect_within(df: DataFrame, seconds: float = 5.0) -> list[dict]:
+    """Rows as dicts; TimeoutError once the deadline has passed, with the running jobs interrupted."""
+    spark, tag, late = df.sparkSession, f"deadline-{uuid.uuid4().hex}", threading.Event()
+
+    def stop():
+        late.set()
+        spark.interruptTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    spark.addTag(tag)
+    timer.start()
+    try:
+        return [r.asDict(recursive=True) for r in df.collect()]
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"Query exceeded {seconds:g} s") from e
+        raise
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import catalog
+
+QUERIES: dict = dict(catalog.QUERIES)
+ORACLES: dict = dict(catalog.ORACLES)
