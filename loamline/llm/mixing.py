@@ -118,10 +118,9 @@ def mix(docs: DataFrame, seed: int = 17, most: int = 3, large: float = 4.0) -> D
         side = classes.select(F.col("source").alias("of"), "cut", src.alias("src"))
         side = F.broadcast(side) if n_sources <= SMALL else side
         mine = sized.join(side, sized.source.eqNullSafe(side.of) & ((F.col("size") > F.col("cut")) == F.lit(is_large)))
-        rows = mine.select("src", "doc_id", "size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth"))
-        p = F.when(F.col("size") > 0, F.col("src.p")).otherwise(F.lit(0.0))
-        item = F.struct(F.xxhash64(F.lit(seed), F.col("src.source"), "doc_id", "size", "nth").alias("h"), "doc_id", "nth", "size", p.alias("p"))
-        copies = F.when(F.col("d.size") > 0, F.least(F.col("src.whole") + F.col("d.k"), F.lit(most))).otherwise(F.lit(0)).cast("long")
+        rows = mine.filter("size > 0").select("src", "doc_id", "size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth"))
+        item = F.struct(F.xxhash64(F.lit(seed), F.col("src.source"), "doc_id", "size", "nth").alias("h"), "doc_id", "nth", "size", F.col("src.p").alias("p"))
+        copies = F.least(F.col("src.whole") + F.col("d.k"), F.lit(most)).cast("long")
         done = _tree(rows.select("src", item.alias("item")), largest or 0, seed)
         done = done.select("src.source", "d.doc_id", "d.size", "d.nth", "src.source_size", "src.target", copies.alias("copies"))
         return done.withColumn("taken", F.col("copies") * F.col("size"))
@@ -132,4 +131,8 @@ def mix(docs: DataFrame, seed: int = 17, most: int = 3, large: float = 4.0) -> D
     left = F.col("source_size") - F.coalesce("had", F.lit(0))
     shifted = F.when(left > 0, (F.col("target") - F.coalesce("got", F.lit(0))) / left).otherwise(F.lit(0.0))
     after = stash(after.withColumn("rate", F.least(F.greatest(shifted, F.lit(0.0)), F.lit(float(most)))).select(plan.columns))
-    return first.union(settle(after, False))
+    of = plan.select(F.col("source").alias("of"), "source_size", "target")
+    of = F.broadcast(of) if n_sources <= SMALL else of
+    blank = sized.filter("size = 0").join(of, sized.source.eqNullSafe(of.of)).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    blank = blank.select("source", "doc_id", "size", "nth", "source_size", "target", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"))
+    return first.union(settle(after, False)).union(blank)
