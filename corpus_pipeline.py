@@ -40,7 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class; of rows that repeat the kept doc_id the smallest text. Rows without doc_id stay."""
     kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
     rows = docs.join(kept, "doc_id", "left_semi")
-    first = rows.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("nth = 1").drop("nth")
+    first = rows.withColumn("__row", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("__row = 1").drop("__row")
     return first.select(docs.columns).union(docs.filter("doc_id is null"))
 
 
@@ -53,13 +53,13 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as many times as the mix holds it."""
     keys = ["source", "doc_id", "size"]
-    plan = mix(docs).filter("copies > 0").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("nth").alias("_nth"), F.col("copies").alias("_copies"))
-    sized = docs.withColumn("_words", n_words("text"))
-    nth = F.row_number().over(W.partitionBy("doc_id", "source", "_words").orderBy("text"))
-    rows = sized.withColumn("_row", nth).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("_doc_id")) & F.col("d.source").eqNullSafe(F.col("_source")) & (F.col("d._words") == F.col("_size")) & (F.col("d._row") == F.col("_nth"))
+    plan = mix(docs).filter("copies > 0").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("nth").alias("__nth"), F.col("copies").alias("__copies"))
+    sized = docs.withColumn("__words", n_words("text"))
+    nth = F.row_number().over(W.partitionBy("doc_id", "source", "__words").orderBy("text"))
+    rows = sized.withColumn("__row", nth).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("__doc_id")) & F.col("d.source").eqNullSafe(F.col("__source")) & (F.col("d.__words") == F.col("__size")) & (F.col("d.__row") == F.col("__nth"))
     taken = rows.join(plan, same)
-    return taken.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    return taken.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
