@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalog
+from .plans import catalog, values
 
-QUERIES: dict = dict(catalog.QUERIES)
-ORACLES: dict = dict(catalog.ORACLES)
+QUERIES: dict = {**catalog.QUERIES, **values.QUERIES}
+ORACLES: dict = {**catalog.ORACLES, **values.ORACLES}
