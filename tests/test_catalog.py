@@ -1,0 +1,65 @@
+"""A catalogue of two small repositories, built and asked."""
+
+import json
+
+import pytest
+
+from loamline.__main__ import main
+from loamline.catalog import Catalog
+
+FILES = {
+    "acme/lib/package.json": '{"name": "@acme/lib", "dependencies": {"left": "^1.0.0"}}',
+    "acme/lib/package-lock.json": '{"packages": {"node_modules/left": {"version": "1.2.0"}, "node_modules/deep": {"version": "0.1.0"}}}',
+    "acme/lib/README.md": "# Lib\n\nPacks things into boxes of the right size.\n",
+    "acme/lib/action.yml": "name: Pack action\nruns:\n  using: node20\n",
+    "acme/web/package.json": '{"name": "web", "private": true, "dependencies": {"@acme/lib": "^2", "react": "18.2.0"}}',
+    "acme/web/src/a.ts": "let x = 1\n",
+    "acme/web/Dockerfile": "FROM node:latest\n",
+    "acme/web/AGENTS.md": "---\ndescription: How to work here, with care and in small steps that can be undone.\n---\n# Rules\nBe brief.\n",
+    "other/web/main.go": "package main\n",
+}
+
+
+@pytest.fixture(scope="module")
+def catalog(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("checkouts")
+    for path, text in FILES.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    out = str(tmp_path_factory.mktemp("catalog"))
+    assert main(["--catalog", out, "build", str(root)]) == 0
+    return Catalog(spark, out)
+
+
+def test_queries(catalog):
+    c = catalog
+    assert [r.id for r in c.search_repos("boxes").collect()] == ["acme/lib"]
+    assert [r.id for r in c.search_repos("boxes nosuch").collect()] == ["acme/lib"]
+    assert c.search_repos("100%_").count() == 0
+    assert {r.id for r in c.search_repos(technology="react").collect()} == {"acme/web"}
+    assert {r.id for r in c.search_repos(language="typescript").collect()} == {"acme/web"}
+    assert {r.id for r in c.search_repos(has_ai=True).collect()} == {"acme/web"}
+    assert [(r.name, r.resolved, r.scope) for r in c.dependency_usage("LEFT").collect()] == [("left", "1.2.0", "runtime")]
+    assert [(r.resolved, r.scope) for r in c.dependency_usage("deep").collect()] == [("0.1.0", "transitive")]
+    assert c.dependency_usage("deep", include_transitive=False).count() == 0
+    assert [(r.id, r.category) for r in c.repos_using("react").collect()] == [("acme/web", "dependency"), ("acme/web", "frameworks")]
+    assert [r.name for r in c.find_building_blocks("pack").collect()] == ["Pack action"]
+    assert {r.flag_id for r in c.list_flags(repo="acme/web").collect()} == {"docker-unpinned-base", "docker-runs-as-root"}
+    assert ("frameworks", "React", 1) in {tuple(r) for r in c.technology_usage().collect()}
+    asset = c.search_assets(min_quality=1).first()
+    assert asset.name == "AGENTS" and c.get_asset(asset.id)["kind"] == "instructions" and c.get_asset("no") is None
+
+
+def test_names_and_links(catalog):
+    c = catalog
+    assert c.resolve_repo("WEB") == ["acme/web", "other/web"] and c.resolve_repo("lib") == ["acme/lib"] and c.resolve_repo("%") == []
+    assert c.relationships("acme/web")["depends_on"] == [{"repo": "acme/lib", "via": "npm @acme/lib"}]
+    assert c.relationships("lib")["used_by_total"] == 1
+    assert c.relationships("web") == {"candidates": ["acme/web", "other/web"]}
+    assert c.get_repo("acme/web", max_items=1)["truncated"]["dependencies"] == {"shown": 1, "total": 3}
+    assert c.sql("select count(*) as n from repos") == [{"n": 3}]
+
+
+def test_command_line(catalog, capsys):
+    assert main(["--catalog", catalog.path, "sql", "select id from repos order by id limit 1"]) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"id": "acme/lib"}
