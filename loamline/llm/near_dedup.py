@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, gram_hashes, mix, shingles, stash, word_hashes
+from .common import connected, gram_hashes, mix, shingles, small_batches, stash, word_hashes
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -63,7 +63,7 @@ def bag_signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs:
     return times
 
 
-def _bands(k: int, bands: int, rows: int, chunk: int = 400_000):
+def _bands(k: int, bands: int, rows: int, chunk: int = 200_000):
     def signed(ids, bags):
         doc = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
         times = bag_signatures(doc, np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]), len(bags), bands * rows)
@@ -177,6 +177,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
     their own, as are rows whose doc_id is null (class_id null). Rows that repeat a doc_id are one document. Two texts of
     similarity 0.8 share no band with a probability of (1 - 0.8**6)**32 = 6e-5. Copies are compared once.
     """
+    small_batches(docs.sparkSession)
     base = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     known = base.groupBy("doc_id").agg(*[f(F.unhex(F.sha2("text", 256))).alias(n) for f, n in ((F.min, "digest"), (F.max, "other"))])
     known = stash(known.filter("digest = other").drop("other"))

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -261,6 +263,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
     Offsets are code points, ends exclusive. Null text is empty; a null doc_id stays null. Cost is linear in the text.
     """
+    small_batches(docs.sparkSession)
     trees = trained(docs.sparkSession)
 
     def run(batches):
@@ -279,6 +282,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span found in `text` replaced by its kind in angle brackets; null stays null."""
+    small_batches(docs.sparkSession)
     trees = trained(docs.sparkSession)
 
     def clean(t: str | None) -> str | None:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, stash, word_hashes, word_spans
+from .common import gram_hashes, small_batches, stash, word_hashes, word_spans
 
 FEATURES = (
     "words", "characters", "word_length", "word_length_spread", "distinct_words", "top_word", "upper_case", "digits", "punctuation",
@@ -115,6 +115,7 @@ def _moments(batches):
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, x, held_out for each row: ids go as strings, since a null would turn longs into doubles."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInPandas(_measure, "doc_id string, x array<double>")
     return rows.select(F.col("doc_id").cast("long"), "x", F.coalesce(F.crc32(F.col("doc_id").cast("binary")) % 5 == 0, F.lit(True)).alias("held_out"))
 

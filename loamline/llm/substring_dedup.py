@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, stash, word_hashes
+from .common import gram_hashes, small_batches, stash, word_hashes
 
 
 def _anchors(words: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -112,6 +112,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFra
     repeat a doc_id are that same document: they get their results each and do not remove each other. Texts under
     `window` words are kept whole. Work on tables of any size is by anchors and windows; no group meets in one task.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit("")).cast("binary")
     base = docs.select("doc_id", text.alias("text"))
     known = base.filter("doc_id is not null").groupBy("doc_id").agg(*[f(F.unhex(F.sha2("text", 256))).alias(n) for f, n in ((F.min, "digest"), (F.max, "other"))])
