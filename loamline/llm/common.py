@@ -139,3 +139,13 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
         if new.filter("moved").isEmpty():
             return labels
     raise RuntimeError("classes did not settle")
+
+
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left join right on keys, where right comes from an aggregation by the same keys and left may have a hot key.
+
+    The aggregated side would be joined in the partitions that it was summed in, which adaptive execution cannot split. A
+    hash of the keys as one more key shuffles it anew, and then it can.
+    """
+    extra = F.xxhash64(*keys)
+    return left.withColumn("__key", extra).join(right.withColumn("__key", extra), [*keys, "__key"], how).drop("__key")

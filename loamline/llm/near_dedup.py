@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, gram_hashes, mix, shingles, small_batches, stash, word_hashes
+from .common import connected, gram_hashes, join_split, mix, shingles, small_batches, stash, word_hashes
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -183,12 +183,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
     known = stash(known.filter("digest = other").drop("other"))
     first = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     blank = docs.filter(F.col("doc_id").isNotNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id")
-    copies = stash(known.join(first, "digest").filter("doc_id > first").select("doc_id", "first").join(blank, "doc_id", "left_anti"))
+    copies = stash(join_split(known, first, ["digest"]).filter("doc_id > first").select("doc_id", "first").join(blank, "doc_id", "left_anti"))
 
     signed = stash(base.mapInPandas(_bands(k, bands, rows), "doc_id long, bucket long"))
     signed = signed.join(copies, "doc_id", "left_anti")
     leaders = signed.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("hi")).filter("leader < hi").drop("hi")
-    shared = stash(signed.join(leaders, "bucket").distinct())
+    shared = stash(join_split(signed, leaders, ["bucket"]).distinct())
     pairs = shared.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
     texts = stash(base.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
     side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
     mixed = per_class.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n_all"), (F.sum("n") - F.max("n")).alias("n_stray")).filter("n_stray > 0")
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     place = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
-    members = tagged.join(mixed, "bucket")
+    members = join_split(tagged, mixed, ["bucket"])
     every = members.select("bucket", F.explode(F.sequence(F.lit(0), blocks("n_stray") - 1)).alias("i"), place("n_all").alias("j"), F.lit(False).alias("stray"), "doc_id", "label")
     stray = members.filter("label <> main").select("bucket", place("n_stray").alias("i"), F.explode(F.sequence(F.lit(0), blocks("n_all") - 1)).alias("j"), F.lit(True).alias("stray"), "doc_id", "label")
     cells = every.union(stray).join(texts, "doc_id")
