@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, small_batches, stash, word_hashes
+from .common import gram_hashes, join_split, small_batches, stash, word_hashes
 
 
 def _anchors(words: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -118,16 +118,16 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFra
     known = base.filter("doc_id is not null").groupBy("doc_id").agg(*[f(F.unhex(F.sha2("text", 256))).alias(n) for f, n in ((F.min, "digest"), (F.max, "other"))])
     known = stash(known.filter("digest = other").drop("other"))
     first = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    copies = stash(known.join(first, "digest").filter("doc_id > first").select("doc_id"))
+    copies = stash(join_split(known, first, ["digest"]).filter("doc_id > first").select("doc_id"))
 
     anchors = stash(base.filter("doc_id is not null").mapInPandas(_index(window, gram), "doc_id long, anchor long"))
     anchors = anchors.join(copies, "doc_id", "left_anti")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    wanted = stash(anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    wanted = stash(join_split(anchors, shared, ["anchor"], "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
 
     windows = base.join(wanted, "doc_id", "left").mapInPandas(_windows(window, gram), "doc_id long, w0 long, w1 long")
     block = windows.groupBy("w0", "w1").agg(F.min("doc_id").alias("block"), F.max("doc_id").alias("hi")).filter("block < hi").drop("hi")
-    seen = windows.join(block, ["w0", "w1"]).filter("block < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("w0", "block")).alias("seen"))
+    seen = join_split(windows, block, ["w0", "w1"]).filter("block < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("w0", "block")).alias("seen"))
     tail = seen.withColumn("is_copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast(seen.schema["seen"].dataType).alias("seen"), F.lit(True).alias("is_copy")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, spans array<array<long>>, kept_text string"
     return base.join(tail, "doc_id", "left").select(F.col("doc_id").cast("string"), "text", "seen", F.coalesce("is_copy", F.lit(False)).alias("is_copy")).mapInPandas(_finish(window), schema)
