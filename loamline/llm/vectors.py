@@ -90,11 +90,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 6, f
     """query_id, rank, vec_id, score: for each vector whose vec_id is divisible by `every` its k nearest found.
 
     Nearness is the inner product of the original vectors in doubles; ties go to the smaller vec_id; a query is no candidate of its
-    own. Zero vectors take no part. A bucket of any size is worked on in whole, in blocks. More tables and probes raise recall;
-    more functions or a smaller width make buckets smaller.
+    own. Zero vectors take no part. A bucket of any size is worked on in whole, in blocks; a query whose buckets hold too
+    few candidates is compared with all vectors. More tables and probes raise recall; more functions or a smaller width
+    make buckets smaller.
     """
     base = stash(usable(vectors).filter(F.exists("v", lambda x: x != 0)))
-    shape = base.agg(F.max(F.size("v")).alias("d"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm")).first()
+    shape = base.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm")).first()
     hashes = PStable(shape.d or 1, shape.norm or 1.0, tables, functions, width)
 
     def index(batches):
@@ -136,9 +137,22 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 6, f
         out = out[out.query_id != out.vec_id].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return out.groupby("query_id").head(k)
 
+    result = "query_id long, vec_id long, score double"
     cells = dealt(placed, "n", "n_asked", False).union(dealt(asked, "n_asked", "n", True))
-    found = cells.groupBy("bucket", "i", "j").applyInPandas(compare, "query_id long, vec_id long, score double").distinct()
-    return _best(F.col("score"), found, k)
+    found = stash(_best(F.col("score"), cells.groupBy("bucket", "i", "j").applyInPandas(compare, result).distinct(), k))
+    # queries whose buckets hold fewer than k candidates while the table holds more are compared with every block
+    have = found.groupBy("query_id").agg(F.count("*").alias("have")).withColumnRenamed("query_id", "vec_id")
+    short = base.filter(F.col("vec_id") % every == 0).join(have, "vec_id", "left").filter(F.coalesce("have", F.lit(0)) < min(k, shape.n - 1)).select("vec_id", "v")
+    short = stash(short)
+    if short.isEmpty():
+        return found
+    rows, queries = math.ceil(shape.n / block), math.ceil(short.count() / block)
+    mine = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = base.select(mine(rows).alias("i"), each(queries).alias("j"), F.lit(False).alias("query"), "vec_id", "v")
+    right = short.select(each(rows).alias("i"), mine(queries).alias("j"), F.lit(True).alias("query"), "vec_id", "v")
+    rest = left.union(right).groupBy("i", "j").applyInPandas(compare, result)
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").union(_best(F.col("score"), rest, k))
 
 
 # ---------------------------------------------------------------- exact

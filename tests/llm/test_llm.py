@@ -281,6 +281,19 @@ def test_nearest(embeddings):
     assert found / len(got) >= 0.9
 
 
+def test_nearest_returns_all_candidates_of_a_small_table(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((12, 8)) * 5
+    df = spark.createDataFrame([(i * 10, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vectors.nearest(df, functions=8, width=0.1, probes=2).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    got = {q: sorted(v) for q, v in got.items()}
+    s = x @ x.T
+    assert got == {q * 10: [(n + 1, int(j) * 10) for n, j in enumerate(j for j in np.argsort(-s[q], kind="stable") if j != q)] for q in range(0, 12, 2)}
+    assert vectors.nearest(df.limit(1)).count() == 0
+
+
 def test_exact_top(embeddings):
     df, x = embeddings
     n = np.floor(256 * x)
