@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -234,23 +235,43 @@ def trained(spark: SparkSession, n: int = 2500, rounds: int = 12, depth: int = 4
     return _trained(spark.sparkContext.applicationId, n, rounds, depth, seed, precision)
 
 
+class _Taken:
+    """Disjoint intervals in order; a span is looked up, and added, without a walk over the others."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def find(text: str, trees: Trees) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, added spans) of one text; added spans overlap neither base spans of their kind nor each other."""
+    """(base spans, added spans) of one text; added spans overlap neither base spans nor each other."""
     base = base_spans(text)
-    taken = {k: [] for k in KINDS}
-    for k, a, b in base:
-        taken[k].append((a, b))
-    proposed = [c for c in candidates(text) if not any(a < c[2] and c[1] < b for v in taken.values() for a, b in v)]
+    taken = _Taken((a, b) for _, a, b in base)
+    proposed = [c for c in candidates(text) if not taken.meets(c[1], c[2])]
     if not proposed:
         return base, []
     x = np.array([features(text, *c) for c in proposed])
     s = trees.score(x)
-    added, used = [], []
+    added, used = [], _Taken(())
     for i in np.argsort(-s, kind="stable"):
         k, a, b = proposed[i]
-        if s[i] >= trees.thresholds[int(x[i, 0])] and not any(p < b and a < q for p, q in used):
+        if s[i] >= trees.thresholds[int(x[i, 0])] and not used.meets(a, b):
             added.append((k, a, b))
-            used.append((a, b))
+            used.add(a, b)
     return base, added
 
 

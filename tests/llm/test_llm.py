@@ -241,6 +241,20 @@ def test_detection(spark):
     assert clean[1] == "see <ip> and <email>, <card> or <phone>." and clean[2] is None
 
 
+def test_added_spans_overlap_nothing_in_texts_full_of_them(spark):
+    trees = pii.trained(spark)
+    for n in (3, 20_000):
+        text = " ".join(f"mail a{i}@b{i}.org, phone (555) {i % 900 + 100}-{i % 9000 + 1000} card 4539148803436467 {i % 10**6}" for i in range(n))
+        base, added = pii.find(text, trees)
+        assert added and sum(k == "email" for k, _, _ in base) == n
+        end = np.zeros(len(text) + 1, int)
+        for _, a, b in added + base:
+            end[a] += 1
+            end[b] -= 1
+        covers = np.cumsum(end)
+        assert covers.max() == 1 or all(covers[a:b].max() == 1 for _, a, b in added)
+
+
 def test_trees_are_calibrated(spark):
     trees = pii.trained(spark)
     x, y = pii.examples(800, seed=77)
