@@ -130,12 +130,16 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 6, f
         ids, of = have.vec_id.to_numpy(), asks.vec_id.to_numpy()
         rough = q @ v.T
         rough[of[:, None] == ids[None, :]] = -np.inf
-        n = min(len(ids), k + 8)
-        near = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < len(ids) else np.broadcast_to(np.arange(len(ids)), rough.shape)
-        exact = np.stack([(q[i] * v[near[i]]).sum(axis=1) for i in range(len(q))])  # the same sum wherever the pair meets
-        out = pd.DataFrame({"query_id": np.repeat(of, n), "vec_id": ids[near].reshape(-1), "score": exact.reshape(-1)})
-        out = out[out.query_id != out.vec_id].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        return out.groupby("query_id").head(k)
+        # rough and exact products each err by at most d * eps * |q| * |v|; all within that of the k-th are kept, however many tie
+        slack = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
+        least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] - slack if k < len(ids) else np.full(len(of), -np.inf)
+        found = []
+        for i, query in enumerate(of):
+            near = np.flatnonzero((rough[i] >= least[i]) & (ids != query))
+            exact = (q[i] * v[near]).sum(axis=1)  # the same sum wherever the pair meets
+            best = np.lexsort((ids[near], -exact))[:k]
+            found.append((np.full(len(best), query), ids[near[best]], exact[best]))
+        return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("query_id", "vec_id", "score"), zip(*found))})
 
     result = "query_id long, vec_id long, score double"
     cells = dealt(placed, "n", "n_asked", False).union(dealt(asked, "n_asked", "n", True))

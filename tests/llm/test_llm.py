@@ -308,6 +308,24 @@ def test_nearest_returns_all_candidates_of_a_small_table(spark):
     assert vectors.nearest(df.limit(1)).count() == 0
 
 
+def test_nearest_takes_the_smallest_of_many_copies(spark):
+    """Several hundred identical vectors in one bucket, delivered in any order."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((900, 16))
+    hot = rng.permutation(900)[:400]
+    x[hot] = x[hot[0]] / np.linalg.norm(x[hot[0]]) * 9
+    rows = [(int(i), [float(v) for v in x[i]]) for i in rng.permutation(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = sorted(int(i) for i in hot if i % 20 == 0)
+    assert len(asked) > 10
+    for n, block in ((3, 1024), (7, 150)):
+        got = {}
+        for r in vectors.nearest(df.repartition(n), block=block).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+        for q in asked:
+            assert [v for _, v in sorted(got[q])] == [int(i) for i in sorted(hot) if i != q][:20]
+
+
 def test_exact_top(embeddings):
     df, x = embeddings
     n = np.floor(256 * x)
