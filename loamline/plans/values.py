@@ -122,7 +122,7 @@ def manifest_dependencies(spark, d):
 def find_secrets(spark, d):
     docs = fx.table(spark, d, "documents")
     files = docs.select(F.col("source").alias("repo_id"), F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "text")
-    return findings.secrets(files, most=1_000_000).filter("message = 'Possible assigned-secret'").groupBy("repo_id").agg(F.count("*").alias("n"))
+    return findings.secrets(files, most=None).groupBy("repo_id").agg(F.count("*").alias("n"))
 
 
 @query("""WITH r AS (SELECT source AS repo_id, max(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) = 1 AS readme, max(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) = 1 AS license FROM documents GROUP BY source)

@@ -39,6 +39,25 @@ def test_findings(files):
     assert not any(TOKEN in str(r) for r in findings.findings(files).collect())
 
 
+def test_every_kind_of_secret_is_counted_without_a_cap(spark, tmp_path):
+    from loamline import registry
+
+    mixed = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0dF3hJ6kL9nP2qR5tU8wX1zA4cE7fG0iK3mO6rS9uV2xY5b"
+    texts = [
+        "AS" + "IA" + "3D6G9J2M5P8S1V4Y", "aws_AK" + "IA" + "3D6G9J2M5P8S1V4Y", TOKEN, "sk-" + "ant-api03-" + mixed + mixed, "sk-" + "proj-" + mixed[:20] + "T3Blbk" + "FJ" + mixed[:20],
+        "https://hooks.slack" + ".com/services/T0AB1CD2E/B0FG3HI4J/" + mixed[:24], "h" + "f_" + mixed[:34], "Account" + "Key=" + mixed + mixed[:10] + "==", "S" + "K" + "0123456789abcdef" * 2,
+        "//r.org/:_auth" + "Token=" + mixed[:36], "postgres" + "://app:s3cretWord9@db.acme.io/x", 'Password: "' + mixed[:24] + '"', "xo" + "xb-123456789012-" + mixed[:20],
+        "postgres://app:s3cretWord9@localhost/x postgres://app:${PASSWORD1}@db.acme.io/x mysql://abcdefg1:Abcdefg1@db.acme.io/x SK" + "a" * 32, "token: none", None,
+    ]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(100 + i, f'token = "{mixed[:24]}"', "hot") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in registry.QUERIES["find_secrets"](spark, str(tmp_path)).collect()} == {("s", 13), ("hot", 60)}
+    files = spark.createDataFrame([(1, f"{i}.py", t) for i, t in enumerate(texts)] + [(2, f"{i}.py", t) for i, t, _ in rows[-60:]], "repo_id long, path string, text string")
+    kinds = {r.path: r.message for r in findings.secrets(files.filter("repo_id = 1"), most=None).collect()}
+    assert [kinds[f"{i}.py"].removeprefix("Possible ") for i in (0, 1, 3, 4, 5, 6, 7, 8, 9, 10, 11)] == ["aws-access-key", "aws-access-key", "anthropic-api-key", "openai-api-key", "slack-webhook", "hugging-face-token", "azure-storage-key", "twilio-api-key", "npm-auth-token", "database-url-with-password", "assigned-secret"]
+    assert findings.secrets(files.filter("repo_id = 2")).count() == 25
+
+
 def test_practices(files):
     passed = {r.check for r in findings.practice_checks(files).collect() if r.passed}
     assert passed == {"readme", "license", "tests", "ci", "gitignore"}
