@@ -30,6 +30,8 @@ _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({ ]at[\])} ] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[({ ]dot[\])} ] ?|\.)[A-Za-z0-9-]{1,63}){1,5}", re.I)
+#: What every match of _SPELLED holds from its "at" on: a text without it has none.
+_SPELLED_TAIL = re.compile(r"[\[({ ]at[\])} ] ?[A-Za-z0-9-]{1,63}(?: ?[\[({ ]dot[\])} ] ?|\.)[A-Za-z0-9-]", re.I)
 _DOTTED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z])(?:00[1-9][0-9]{0,2}[ .-])?\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,5}){1,4}(?![0-9A-Za-z])")
 _GROUP = re.compile(r"[0-9]+")
@@ -80,7 +82,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping proposals, with high recall; spans that the base patterns find may be among them."""
     out = []
-    if "dot" in text or "at)" in text or "at]" in text or "DOT" in text:
+    if _SPELLED_TAIL.search(text):
         out += [("email", *m.span()) for m in _SPELLED.finditer(text)]
     if _DIGIT.search(text):
         out += [("ip", *m.span()) for m in _DOTTED.finditer(text)]
@@ -91,7 +93,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             groups = [(m.start() + g.start(), m.start() + g.end()) for g in _GROUP.finditer(m[0])]
             for i, (start, _) in enumerate(groups):
                 size = 0
-                for lo, hi in groups[i : i + 7]:
+                for lo, hi in groups[i : i + 19]:  # every group has a digit, so the break below comes first
                     size += hi - lo
                     if size > 19:
                         break
@@ -131,6 +133,7 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     pick = lambda *x: x[rng.integers(len(x))]
     word = lambda: "".join(pick(*"aeiou") + pick(*"bdlmnrstv") for _ in range(rng.integers(1, 4)))
+    grouped = lambda s, k, by: by.join(s[i : i + k] for i in range(0, len(s), k))
     x, y = [], []
     for _ in range(n):
         kind, good = pick(*KINDS), bool(rng.integers(2))
@@ -149,7 +152,7 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             s = _with_check_digit(pick("4", "51", "37", "60") + digits(13))[:17]
             s = _with_check_digit(s[:-1])
             if good:
-                s = pick(s, s[:4] + " " + s[4:8] + " " + s[8:12] + " " + s[12:])
+                s = grouped(s, pick(16, 16, 4, 4, 2, 1), pick(" ", "-"))
                 s = pick(s, digits(16) + " " + s, s + " " + digits(16)) if rng.integers(2) else s
             else:
                 s = s[:-1] + str((int(s[-1]) + 1 + rng.integers(8)) % 10)

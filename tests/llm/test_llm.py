@@ -255,6 +255,25 @@ def test_added_spans_overlap_nothing_in_texts_full_of_them(spark):
         assert covers.max() == 1 or all(covers[a:b].max() == 1 for _, a, b in added)
 
 
+def test_proposals_of_every_spelling_and_grouping(spark):
+    trees = pii.trained(spark)
+    for s in ("Ann (AT) mail.example.com", "ann {at} mail.example.com", "ann [At] example (Dot) org", "ann at example DOT org", "ann(at)example.org"):
+        assert ("email", 6, 6 + len(s)) in pii.candidates(f"write {s} now"), s
+    for s in ("Ann (AT) mail.example.com", "ann {at} mail.example.com"):
+        assert ("email", 12, 12 + len(s)) in pii.find(f"contact me: {s}, thanks", trees)[1], s
+    card = "4539148803436467"
+    for k in (4, 2, 1):
+        for by in " -":
+            s = by.join(card[i : i + k] for i in range(0, 16, k))
+            for text in (f"card: {s} 7536784127813051 now", f"card: 7536784127813051 {s} now"):
+                at = text.index(s)
+                base, added = pii.find(text, trees)
+                assert not base and ("card", at, at + len(s)) in pii.candidates(text), text
+                assert ("card", at, at + len(s)) in added, text
+    long_run = " ".join("7" * 50_000)
+    assert len([c for c in pii.candidates(long_run) if c[0] == "card"]) <= 7 * 50_000
+
+
 def test_trees_are_calibrated(spark):
     trees = pii.trained(spark)
     x, y = pii.examples(800, seed=77)
