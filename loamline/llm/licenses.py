@@ -1,6 +1,6 @@
 """License scans: normalised text against licence templates by Dice coefficient over word bigrams, in DataFrame operations only.
 
-Units are the whole text, its paragraphs (parted by blank lines) and its lines. Two bounds prune before a coefficient is
+Units are the whole text, its paragraphs (parted by blank lines), its lines, and windows of words. Two bounds prune before a coefficient is
 computed: a text that shares fewer bigrams with a template than any matching unit must is skipped with all its units,
 and a unit is compared with the templates of fitting size only, as Dice >= t needs sizes within t / (2 - t) of each other.
 """
@@ -31,6 +31,8 @@ TEMPLATES = (
 )
 
 
+#: What parts paragraphs: empty lines, and lines of comment marks alone.
+_BLANK = r"\n[\x20\x09\r]*(?:[#*/;%!-]+[\x20\x09\r]*)?\n\s*"
 #: Most distinct bigrams of all templates: they become literals of the plan.
 BOUND = 20_000
 
@@ -45,30 +47,67 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _pairs(text: Column) -> Column:
+    """Pairs of neighbouring words, in order."""
+    pairs = lambda w, n: F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return _let(_words(text), lambda w: pairs(w, F.greatest(F.size(w) - 1, F.lit(0))))
+
+
 def _bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring words."""
-    pairs = lambda w, n: F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
-    return _let(_words(text), lambda w: F.array_distinct(pairs(w, F.greatest(F.size(w) - 1, F.lit(0)))))
+    return F.array_distinct(_pairs(text))
 
 
 def _named(kind: str, parts: Column) -> Column:
     return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("unit_no"), x.alias("part")))
 
 
+def _best(grams: Column, share: float) -> Column:
+    """The template of fitting size with the highest coefficient, of the column `templates`; null if none fits."""
+    n = F.size(grams)
+    fitting = F.filter("templates", lambda t: (t["m"] >= n * share - 1e-9) & (t["m"] <= n / share + 1e-9))
+    dice = lambda t: 2.0 * F.size(F.array_intersect(t["grams"], grams)) / (t["m"] + n)
+    return F.array_max(F.transform(fitting, lambda t: F.struct(dice(t).alias("dice"), (-t["template"]).alias("order"), t["license"].alias("license"))))
+
+
+def _windows(t: Column, least: float, share: float) -> Column:
+    """Runs of `pairs` that reach `least` with a template. Such a run that starts or ends with a pair not of the template
+    reaches more without it, so runs between two of its pairs are enough; they hold m * share of them at least."""
+    need = F.ceil(t["m"] * share - 1e-9).cast("int")
+    longest = F.floor(t["n"] / share + 1e-9).cast("int")
+
+    def run(start, end):
+        grams = F.array_distinct(F.slice("pairs", start + 1, end - start + 1))
+        return _let(grams, lambda g: _let(F.size(F.array_intersect(t["grams"], g)), lambda x: F.struct((-x).alias("fewer"), (-2.0 * x / (t["m"] + F.size(g))).alias("worse"), t["template"].alias("template"), start.alias("start"), end.alias("end"), t["license"].alias("license"))))
+
+    ends = lambda at, start, i: F.filter(F.slice(at, i + need, longest), lambda end: end - start < longest)
+    hits = F.filter(F.transform("pairs", lambda g, i: F.when(F.array_contains(t["grams"], g), i)), lambda i: i.isNotNull())
+    runs = _let(hits, lambda at: F.flatten(F.transform(at, lambda start, i: F.transform(ends(at, start, i), lambda end: run(start, end)))))
+    return F.filter(runs, lambda w: w["worse"] <= -least)
+
+
+def _disjoint(windows: Column) -> Column:
+    """The windows that share the most with their template, then the closest, without those that overlap a better one."""
+    meets = lambda w, k: (w["start"] <= k["end"]) & (k["start"] <= w["end"])
+    add = lambda kept, w: F.when(F.exists(kept, lambda k: meets(w, k)), kept).otherwise(F.concat(kept, F.array(w)))
+    return F.aggregate(F.array_sort(windows), F.slice(windows, 1, 0), add)
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
     """doc_id, unit, unit_no, license, template, dice: the best template of every unit with a coefficient of `least` or more.
 
-    unit is document, paragraph or line; unit_no counts from 0. templates: (licence, text), numbered from 0; ties go to
+    unit is document, paragraph, line or window; unit_no counts from 0. Windows are runs of words of any length, numbered
+    by their first word; they do not overlap, and tell the licences that no other unit of the text tells. templates: (licence, text), numbered from 0; ties go to
     the smaller number. Null and blank texts, and units of one word, match nothing. Repeated rows are each returned.
     Templates are configuration and bounded: more than BOUND bigrams are refused, and are to be scanned in parts.
     """
     spark = docs.sparkSession
     given = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, text string")
-    known = [r for r in given.select("template", "license", _bigrams(F.col("text")).alias("grams")).collect() if r.grams]
+    known = [r for r in given.select("template", "license", _bigrams(F.col("text")).alias("grams"), F.size(_pairs(F.col("text"))).alias("n")).collect() if r.grams]
     vocabulary = sorted({g for r in known for g in r.grams})
     if len(vocabulary) > BOUND:
         raise ValueError(f"the templates hold {len(vocabulary)} bigrams; scan in parts of at most {BOUND}")
-    table = F.array(*[F.struct(F.lit(r.template).alias("template"), F.lit(r.license).alias("license"), F.array(*map(F.lit, r.grams)).alias("grams"), F.lit(len(r.grams)).alias("m")) for r in known])
+    table = F.array(*[F.struct(F.lit(r.template).alias("template"), F.lit(r.license).alias("license"), F.array(*map(F.lit, r.grams)).alias("grams"), F.lit(len(r.grams)).alias("m"), F.lit(r.n).alias("n")) for r in known])
     share = least / (2 - least)
 
     # a matching unit has x bigrams at least, so 2x / (x + m) >= t: it shares ceil(t m / (2 - t)) with a template of m
@@ -78,11 +117,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
     possible = F.filter(table, lambda t: F.size(F.array_intersect(t["grams"], F.col("hits"))) >= t["m"] * share - 1e-9)
     shared = shared.select("doc_id", "text", F.explode(F.array(possible)).alias("templates")).filter(F.size("templates") > 0)
 
-    every = F.concat(_named("document", F.array("text")), _named("paragraph", F.split("text", r"\n[\x20\x09\r]*\n\s*")), _named("line", F.split("text", r"\r?\n")))
-    parts = shared.select("doc_id", "templates", F.explode(every).alias("u")).select("doc_id", "templates", "u.unit", "u.unit_no", F.explode(F.array(_bigrams(F.col("u.part")))).alias("grams"))
-    n = F.size("grams")
-    fitting = F.filter("templates", lambda t: (t["m"] >= n * share - 1e-9) & (t["m"] <= n / share + 1e-9))
-    dice = lambda t: 2.0 * F.size(F.array_intersect(t["grams"], F.col("grams"))) / (t["m"] + n)
-    scored = F.transform(fitting, lambda t: F.struct(dice(t).alias("dice"), (-t["template"]).alias("order"), t["license"].alias("license")))
-    best = parts.filter(n > 0).select("doc_id", "unit", "unit_no", F.explode(F.array(F.array_max(scored))).alias("best")).filter(F.col("best.dice") >= least)
-    return best.select("doc_id", "unit", "unit_no", "best.license", (-F.col("best.order")).alias("template"), "best.dice")
+    every = F.concat(_named("document", F.array("text")), _named("paragraph", F.split("text", _BLANK)), _named("line", F.split("text", r"\r?\n")))
+    rows = shared.select("doc_id", "text", "templates", F.explode(F.array(_pairs(F.col("text")))).alias("pairs"))
+    units = F.filter(F.transform(every, lambda u: F.struct(u["unit"].alias("unit"), u["unit_no"].alias("unit_no"), _let(_bigrams(u["part"]), lambda g: _best(g, share)).alias("best"))), lambda u: u["best"]["dice"] >= least)
+    rows = rows.select("doc_id", F.explode(F.array(units)).alias("units"), _disjoint(F.flatten(F.transform("templates", lambda t: _windows(t, least, share)))).alias("windows"))
+    told = F.transform("units", lambda u: u["best"]["license"])
+    one = lambda unit, no, license, order, dice: F.struct(unit.alias("unit"), no.alias("unit_no"), license.alias("license"), (-order).alias("template"), dice.alias("dice"))
+    out = F.concat(
+        F.transform("units", lambda u: one(u["unit"], u["unit_no"], u["best"]["license"], u["best"]["order"], u["best"]["dice"])),
+        F.transform(F.filter("windows", lambda w: ~F.array_contains(told, w["license"])), lambda w: one(F.lit("window"), w["start"], w["license"], -w["template"], -w["worse"])),
+    )
+    return rows.select("doc_id", F.explode(out).alias("u")).select("doc_id", "u.unit", "u.unit_no", "u.license", "u.template", "u.dice")

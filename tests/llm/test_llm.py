@@ -414,6 +414,38 @@ def test_license_scan(spark):
     assert got == want and len(want) > 40
 
 
+def test_license_notices_among_other_words(spark):
+    """Notices inside long lines, in wrapped comments, beside one another, and beside notices on lines of their own."""
+    lines, number = [t for _, t in licenses.TEMPLATES], {}
+    for i, (name, _) in enumerate(licenses.TEMPLATES):
+        number.setdefault(name, i)
+    long = [i for i, t in enumerate(lines) if len(t.split()) > 20]
+
+    def wrapped(t, mark):
+        w = t.split()
+        return "\n".join(f"{mark} {' '.join(w[i : i + 9])}" for i in range(0, len(w), 9))
+
+    texts, want = [], []
+    for i, t in enumerate(lines):
+        texts.append(f"{prose(30)} {t} {prose(30)}")
+        want.append({licenses.TEMPLATES[i][0]})
+    for i in long:
+        texts.append(f"# Copyright (C) 2020 Ann Other\n#\n{wrapped(lines[i], '#')}\n#\n{wrapped(prose(60), '#')}\nimport os\n" + prose(40))
+        want.append({licenses.TEMPLATES[i][0]})
+        texts.append(f" * Copyright (C) 2020 Ann Other {prose(9)}\n{wrapped(lines[i], ' *')}\n{wrapped(prose(60), ' *')}\nint x;")
+        want.append({licenses.TEMPLATES[i][0]})
+    texts += [f"{prose(9)} {lines[0]} {lines[4 - 1]} {prose(9)}", f"{lines[0]}\n{prose(12)} {lines[3]} {prose(12)}", prose(500)]
+    want += [{"MIT", "Apache-2.0"}, {"MIT", "Apache-2.0"}, set()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(df.union(df)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+        assert r.dice >= 0.8
+    assert [{r.license for r in got.get(i, [])} for i in range(len(texts))] == want
+    assert all(r.unit_no == 30 and r.template == i and r.dice == 1 for i in range(len(lines)) for r in got[i] if r.unit == "window")
+    assert sum(r.unit == "window" for r in got[0]) == 2
+
+
 # ---------------------------------------------------------------- 10
 
 
