@@ -80,14 +80,20 @@ def duplicates(assets: DataFrame, least_words: int = 10, shown: int = 20) -> Dat
     return fit.join(sizes, "content_sha").join(heads, "content_sha").select("id", (F.col("n") - 1).alias("duplicate_count"), F.array_join(others.cast("array<string>"), ",").alias("duplicates"))
 
 
-def alias_groups(advisories: DataFrame, rounds: int = 20) -> DataFrame:
-    """id, group_id: advisories that share an alias, directly or through others, are one group. advisories: id, aliases."""
+def alias_groups(advisories: DataFrame, rounds: int = 60) -> DataFrame:
+    """id, group_id: advisories that share an alias, directly or through others, are one group. advisories: id, aliases.
+
+    Every round takes the smallest label of all that share an alias and then jumps to that label's own label, so that long
+    chains settle in few rounds; labels that have not settled after `rounds` are an error, not a result.
+    """
     pairs = advisories.select("id", F.explode(F.array_union(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias")).distinct()
     labels = pairs.select("id").distinct().withColumn("group_id", F.col("id"))
     for _ in range(rounds):
         by_alias = pairs.join(labels, "id").groupBy("alias").agg(F.min("group_id").alias("low"))
-        new = pairs.join(by_alias, "alias").groupBy("id").agg(F.min("low").alias("group_id")).checkpoint()
+        near = pairs.join(by_alias, "alias").groupBy("id").agg(F.min("low").alias("low"))
+        jump = labels.select(F.col("id").alias("low"), F.col("group_id").alias("far"))
+        new = near.join(jump, "low", "left").select("id", F.least("low", "far").alias("group_id")).checkpoint()
         if new.join(labels, ["id", "group_id"], "left_anti").isEmpty():
             return new
         labels = new
-    return labels
+    raise RuntimeError("alias groups did not settle")

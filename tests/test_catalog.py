@@ -63,3 +63,14 @@ def test_names_and_links(catalog):
 def test_command_line(catalog, capsys):
     assert main(["--catalog", catalog.path, "sql", "select id from repos order by id limit 1"]) == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"id": "acme/lib"}
+
+
+def test_long_chains_of_aliases_are_one_group(spark):
+    from loamline.operators import links
+
+    chain = [(f"A{i:03d}", [f"A{i + 1:03d}"]) for i in range(60)] + [("B1", ["X"]), ("B2", None)]
+    df = spark.createDataFrame(chain, "id string, aliases array<string>").coalesce(1)
+    got = {r.id: r.group_id for r in links.alias_groups(df).collect()}
+    assert got == {i: "A000" if i[0] == "A" else i for i, _ in chain}
+    with pytest.raises(RuntimeError):
+        links.alias_groups(df, rounds=2)
