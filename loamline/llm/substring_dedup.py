@@ -1,11 +1,10 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by windows joined in place of a relative Lempel-Ziv parse.
 
 Every document is a reference block for all documents with a larger doc_id. The index of the blocks is content-defined:
 each window of `window` words is anchored at its smallest `gram`-word hash, so two documents that share a window share its
-anchor, and only windows whose anchor lies in several texts are looked up. A document is then parsed greedily from the
-left: where the window at the cursor is found in an earlier block, a factor starts and is extended word by word while the
-same block goes on; otherwise the cursor moves on by one literal word. Factors end where the block changes, and the
-windows that cross such a boundary are looked up on their own. A factor has `window` words at least and is a duplicate span.
+anchor, and only windows whose anchor lies in several texts are looked up, all of them. Each found window refers to the
+smallest document that holds it; consecutive windows with the same one are a factor. Factors may overlap where that
+document changes. A factor has `window` words at least and is a duplicate span.
 
 Exact copies are one factor as a whole and are found by digest, so that large groups of copies cost one text.
 """
@@ -70,7 +69,7 @@ def _windows(window: int, gram: int):
 
 
 def parse(text: bytes, seen: np.ndarray, block: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (first word, words, block) given the windows seen in earlier blocks and the block of each."""
+    """Runs of found windows as factors (first word, words, block) given the windows seen in earlier blocks and the block of each."""
     windows = gram_hashes(word_hashes(text), window).view(np.int64)
     order = np.argsort(seen)
     seen, block = seen[order], block[order]
