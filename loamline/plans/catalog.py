@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -416,8 +417,11 @@ def sbom_components(spark, d):
 
 @query(with_(fx.DEPS) + "SELECT repo_id, array_to_string(list_slice(list_sort(list_distinct(list(name))), 1, 10), ',') AS shown, count(DISTINCT name) AS total FROM deps GROUP BY repo_id")
 def get_repo_truncated(spark, d):
-    names = F.array_sort(F.collect_set("name"))
-    return fx.deps(spark, d).groupBy("repo_id").agg(F.array_join(F.slice(names, 1, 10), ",").alias("shown"), F.size(names).cast("long").alias("total"))
+    names = fx.deps(spark, d).select("repo_id", "name").distinct()
+    total = names.groupBy("repo_id").agg(F.count("name").alias("total"))
+    place = F.row_number().over(W.partitionBy("repo_id").orderBy(F.asc_nulls_last("name")))
+    heads = names.withColumn("place", place).filter(F.col("place") <= 10).groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("shown"))
+    return heads.join(total.withColumnRenamed("repo_id", "of"), F.col("repo_id").eqNullSafe(F.col("of"))).select("repo_id", "shown", "total")
 
 
 @query(with_(fx.REPOS) + "SELECT owner, count(*) AS n FROM repos GROUP BY owner ORDER BY n DESC, owner LIMIT 10")

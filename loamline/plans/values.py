@@ -103,19 +103,28 @@ def purl_build(spark, d):
     return df.select("ecosystem", "name", packages.purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("purl"))
 
 
-def _files(spark, d):
-    """Manifests made of the driver's rows: a repository's parts as a requirements file, its line items as a lockfile."""
-    deps = fx.deps(spark, d)
-    name = F.replace("name", F.lit(" "), F.lit("-"))
-    req = deps.groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(name, F.lit(">=1")))), "\n").alias("text")).select("repo_id", F.lit("requirements.txt").alias("path"), "text")
-    lock = deps.groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit('[[package]]\nname = "'), name, F.lit('"\nversion = "'), "version", F.lit('"\n')))), "").alias("text")).select("repo_id", F.lit("uv.lock").alias("path"), "text")
-    return req.union(lock)
+def _files(spark, d, most: int = 500):
+    """Manifests made of the driver's rows: a repository's parts as requirements files, its line items as lockfiles, each in
+    folders by the hash of the name, so that a file holds about `most` entries however large the repository is."""
+    deps = fx.deps(spark, d).select("repo_id", F.replace("name", F.lit(" "), F.lit("-")).alias("name"), "version")
+
+    def made(file, entry, by):
+        entries = deps.select("repo_id", "name", entry.alias("entry")).distinct()
+        parts = entries.groupBy("repo_id").agg(F.ceil(F.count("*") / most).alias("parts"))
+        folder = F.pmod(F.xxhash64("name"), F.col("parts")).cast("string")
+        sizes = parts.select(F.col("repo_id").alias("of"), F.xxhash64("repo_id").alias("key"), "parts")  # one more key, so that a skewed join can be split
+        dealt = entries.join(sizes, F.col("repo_id").eqNullSafe(F.col("of")) & (F.xxhash64("repo_id") == F.col("key")))
+        return dealt.groupBy("repo_id", F.concat(folder, F.lit(f"/{file}")).alias("path")).agg(F.array_join(F.array_sort(F.collect_list("entry")), by).alias("text"))
+
+    req = made("requirements.txt", F.concat("name", F.lit(">=1")), "\n")
+    return req.union(made("uv.lock", F.concat(F.lit('[[package]]\nname = "'), "name", F.lit('"\nversion = "'), "version", F.lit('"\n')), ""))
 
 
 @query("""SELECT l_suppkey AS repo_id, 'requirements.txt' AS manifest, count(DISTINCT p_name) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL
 UNION ALL SELECT l_suppkey, 'uv.lock', count(DISTINCT p_name || '@' || CAST(l_linenumber AS VARCHAR) || '.' || CAST(CAST(l_quantity AS INT) AS VARCHAR)) FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
 def manifest_dependencies(spark, d):
-    return manifests.dependencies(_files(spark, d)).groupBy("repo_id", "manifest").agg(F.count("*").alias("n"))
+    rows = manifests.dependencies(_files(spark, d)).withColumn("manifest", F.regexp_replace("manifest", "^.*/", ""))
+    return rows.groupBy("repo_id", "manifest").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT source AS repo_id, count(*) AS n FROM documents WHERE regexp_matches(text, '(?i)\\b(?:api_?key|secret|token|password)\\s*[:=]\\s*["''][A-Za-z0-9_/+\\-]{20,}["'']') GROUP BY source""")
