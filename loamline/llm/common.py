@@ -18,19 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one of our own only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a folder of our own in local mode (tests); a cluster's
+    executors would not see it, so there it is an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="loamline-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back, so that lineage is cut and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/stash/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def stash(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back, so that lineage is cut and a lost executor costs no recomputation. A given
+    path is written over."""
+    path = path or f"{shared_dir(df.sparkSession)}/stash/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -125,16 +129,18 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of links (a long, b long): label is the smallest node of its connected class.
 
     Every round takes the smallest label of the neighbours (with partial aggregation, so that a hub is no hot spot) and
-    then jumps to that label's own label; only whether anything moved reaches the driver.
+    then jumps to that label's own label; only whether anything moved reaches the driver. Two folders take turns, so that
+    rounds do not add up on disk.
     """
     both = stash(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
+    turns = [f"{shared_dir(links.sparkSession)}/stash/{uuid.uuid4().hex}" for _ in range(2)]
     labels = stash(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
-    for _ in range(rounds):
+    for n in range(rounds):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         lower = F.least("low", F.coalesce("far", "low"))
-        new = stash(step.join(jump, "low", "left").select("node", lower.alias("label"), (lower < F.col("label")).alias("moved")))
+        new = stash(step.join(jump, "low", "left").select("node", lower.alias("label"), (lower < F.col("label")).alias("moved")), turns[n % 2])
         labels = new.select("node", "label")
         if new.filter("moved").isEmpty():
             return labels

@@ -7,9 +7,10 @@ carries its time and one of the registers; a register keeps the earliest point,
 a probability of exactly their weighted Jaccard similarity. Points come in ascending time, and a shingle stops once it
 is later than the latest register.
 
-Signatures are cut into bands. Documents of a band's bucket are compared with the bucket's smallest document; then, in
-buckets that this left in several classes, everything outside the largest class is compared with everything else, in
-blocks, so that no link between two classes is lost and no pair list is written. All comparisons are exact.
+Signatures are cut into bands. Buckets with the same members count once. Documents of a bucket are compared with the
+bucket's smallest document, its leader; then, in buckets whose other members this left in several classes, everything outside
+the largest class is compared with everything else, in blocks, so that no link between two classes is lost and no pair
+list is written. All comparisons are exact. Of the texts only those in shared buckets move beyond the one join that finds them.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def _bands(k: int, bands: int, rows: int, chunk: int = 200_000):
         total = mix(np.arange(1, bands + 1, dtype=_U) * _STEP)[None, :]
         for r in range(rows):
             total = mix(total ^ keys[:, :, r])
-        return pd.DataFrame({"doc_id": np.repeat(np.array(ids, np.int64), bands), "bucket": total.reshape(-1).view(np.int64)})
+        return pd.DataFrame({"doc_id": np.array(ids, np.int64), "buckets": list(total.view(np.int64))})
 
     def run(batches):
         for b in batches:
@@ -93,6 +94,8 @@ def _bands(k: int, bands: int, rows: int, chunk: int = 200_000):
 
 def similarity(a: tuple, b: tuple) -> float:
     """Weighted Jaccard similarity of two multisets of hashes with counts."""
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = int(np.minimum(a[1][i], b[1][j]).sum())
     either = int(a[1].sum() + b[1].sum()) - both
@@ -100,15 +103,21 @@ def similarity(a: tuple, b: tuple) -> float:
 
 
 def _verify(k: int, least: float):
+    """Exact comparison of members with their leader. Rows come sorted by (leader, shard), the leader's texts first; only
+    the current leader's multisets are held, so that memory does not grow with a group."""
+
     def run(batches):
-        last, bag = None, None
+        last, bags = None, []
         for x in batches:
             keep = []
-            for a, b, ta, tb in zip(x.a, x.b, x.text_a, x.text_b):
-                if b != last:
-                    last, bag = b, shingles(tb, k)
-                keep.append(similarity(shingles(ta, k), bag) >= least)
-            yield x.loc[keep, ["a", "b"]]
+            for leader, shard, doc, text in zip(x.leader, x.shard, x.doc_id, x.text):
+                if (leader, shard) != last:
+                    last, bags = (leader, shard), []
+                bag = shingles(text, k)
+                if doc == leader:
+                    bags.append(bag)
+                keep.append(doc != leader and any(similarity(bag, own) >= least for own in bags))
+            yield pd.DataFrame({"a": x.doc_id[keep], "b": x.leader[keep]})
 
     return run
 
@@ -169,45 +178,84 @@ def _cell(k: int, least: float, columns: int = 4096):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 32, rows: int = 6, block: int = 256) -> DataFrame:
+def _candidates(docs: DataFrame, k: int, bands: int, rows: int, copies: DataFrame) -> DataFrame:
+    """bucket, leader, doc_id: the members of every bucket that holds two documents or more. Of buckets with the same members
+    (bands repeat them) one is kept, so that a pair meets once and not in each band."""
+    signed = stash(docs.mapInPandas(_bands(k, bands, rows), "doc_id long, buckets array<long>"))
+    signed = signed.join(copies.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select("doc_id", F.explode("buckets").alias("bucket"))
+    leaders = signed.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last")
+    shared = stash(join_split(signed, leaders, ["bucket"]).distinct())
+    return stash(_distinct_sets(shared).drop("last"))
+
+
+def _distinct_sets(members: DataFrame) -> DataFrame:
+    """members without buckets that hold the same documents as a bucket of a smaller number."""
+    sets = members.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"))
+    kept = sets.groupBy("lo", "hi", "n", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return join_split(members, kept, ["bucket"], "left_semi")
+
+
+def _star(texts: DataFrame, shared: DataFrame, k: int, least: float, shard: int = 512) -> DataFrame:
+    """(a, b): the members of buckets that are similar to their bucket's leader b. A leader with many members has its text
+    dealt to several shards; a text moves once for each leader, whatever the number of buckets."""
+    pairs = shared.filter("doc_id <> leader").select("doc_id", "leader").distinct()
+    sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+    members = join_split(pairs, sizes, ["leader"]).select("doc_id", "leader", F.pmod(F.xxhash64("doc_id"), "shards").cast("int").alias("shard"))
+    leaders = sizes.select(F.col("leader").alias("doc_id"), "leader", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    rows = texts.join(members.union(leaders), "doc_id").select("leader", "shard", "doc_id", "text")
+    rows = rows.repartition("leader", "shard").sortWithinPartitions("leader", "shard", F.col("doc_id") != F.col("leader"))
+    return stash(rows.mapInPandas(_verify(k, least), "a long, b long"))
+
+
+def _stray_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: DataFrame, k: int, least: float, block: int) -> DataFrame:
+    """(a, b): links between classes that the comparison with leaders left apart in one bucket. Leaders have been compared with
+    all, so others remain: what is outside the bucket's largest class is compared with all of the bucket, in cells
+    of two blocks of about `block` bytes of text."""
+    tagged = shared.filter("doc_id <> leader").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    tagged = stash(tagged.select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    classes = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = classes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
+    members = _distinct_sets(join_split(tagged, mixed, ["bucket"])).join(sizes, "doc_id")
+    members = stash(members)
+    stray = F.col("label") != F.col("main")
+    blocks = lambda size: F.ceil(F.coalesce(F.sum(size), F.lit(0)) / block).cast("int")
+    counts = members.groupBy("bucket").agg(F.greatest(blocks("size"), F.lit(1)).alias("all_blocks"), F.greatest(blocks(F.when(stray, F.col("size"))), F.lit(1)).alias("stray_blocks"))
+    members = join_split(members, counts, ["bucket"])
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = members.select("bucket", each("stray_blocks").alias("i"), place("all_blocks").alias("j"), F.lit(False).alias("stray"), "doc_id", "label")
+    strays = members.filter(stray).select("bucket", place("stray_blocks").alias("i"), each("all_blocks").alias("j"), F.lit(True).alias("stray"), "doc_id", "label")
+    cells = texts.join(every.union(strays), "doc_id")
+    return stash(cells.groupBy("bucket", "i", "j").applyInPandas(_cell(k, least), "a long, b long").distinct())
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 32, rows: int = 6, block: int = 4_000_000) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the class) for each row of docs.
 
     Two documents are linked if the weighted Jaccard similarity of their k-word shingle multisets is `least` or more;
     classes are what links connect. Texts under k words are one shingle; null and blank texts have none and are a class of
-    their own, as are rows whose doc_id is null (class_id null). Rows that repeat a doc_id are one document. Two texts of
-    similarity 0.8 share no band with a probability of (1 - 0.8**6)**32 = 6e-5. Copies are compared once.
+    their own, as are rows whose doc_id is null (class_id null). Rows that repeat a doc_id are one document, linked by any of
+    its texts. Two texts of similarity 0.8 share no band with a probability of (1 - 0.8**6)**32 = 6e-5. Copies
+    are compared once. Texts of any length are hashed whole; `block` bounds the bytes of text that one comparison of two
+    blocks holds, but for a single longer text.
     """
     small_batches(docs.sparkSession)
-    base = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    known = base.groupBy("doc_id").agg(*[f(F.unhex(F.sha2("text", 256))).alias(n) for f, n in ((F.min, "digest"), (F.max, "other"))])
-    known = stash(known.filter("digest = other").drop("other"))
-    first = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    blank = docs.filter(F.col("doc_id").isNotNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id")
-    copies = stash(join_split(known, first, ["digest"]).filter("doc_id > first").select("doc_id", "first").join(blank, "doc_id", "left_anti"))
-
-    signed = stash(base.mapInPandas(_bands(k, bands, rows), "doc_id long, bucket long"))
-    signed = signed.join(copies, "doc_id", "left_anti")
-    leaders = signed.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("hi")).filter("leader < hi").drop("hi")
-    shared = stash(join_split(signed, leaders, ["bucket"]).distinct())
-    pairs = shared.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
-    texts = stash(base.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
-    side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
-    star = stash(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInPandas(_verify(k, least), "a long, b long"))
-
+    base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    full = F.max(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]")).alias("full")
+    digest = F.unhex(F.sha2("text", 256))
+    known = stash(base.groupBy("doc_id").agg(F.min(digest).alias("digest"), F.max(digest).alias("other"), F.max(F.length("text")).alias("size"), full))
+    alike = known.filter("digest = other and full")
+    first = alike.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    copies = stash(join_split(alike, first, ["digest"]).filter("doc_id > first").select("doc_id", "first"))
+
+    shared = _candidates(base, k, bands, rows, copies)
+    texts = stash(base.join(shared.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"))
+    star = _star(texts, shared, k, least)
     labels = connected(star)
-    tagged = shared.join(labels, shared.doc_id == labels.node, "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    tagged = stash(tagged)
-    per_class = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = per_class.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n_all"), (F.sum("n") - F.max("n")).alias("n_stray")).filter("n_stray > 0")
-    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    place = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
-    members = join_split(tagged, mixed, ["bucket"])
-    every = members.select("bucket", F.explode(F.sequence(F.lit(0), blocks("n_stray") - 1)).alias("i"), place("n_all").alias("j"), F.lit(False).alias("stray"), "doc_id", "label")
-    stray = members.filter("label <> main").select("bucket", place("n_stray").alias("i"), F.explode(F.sequence(F.lit(0), blocks("n_all") - 1)).alias("j"), F.lit(True).alias("stray"), "doc_id", "label")
-    cells = every.union(stray).join(texts, "doc_id")
-    rest = cells.groupBy("bucket", "i", "j").applyInPandas(_cell(k, least), "a long, b long")
-    labels = connected(star.union(stash(rest.distinct())))
+    rest = _stray_links(texts, shared, labels, known.select("doc_id", "size"), k, least, block)
+    if not rest.isEmpty():
+        labels = connected(star.union(rest))
 
     labels = labels.withColumnRenamed("node", "rep")
-    with_rep = docs.select("doc_id").join(copies, "doc_id", "left").select("doc_id", F.coalesce("first", "doc_id").alias("rep"))
+    with_rep = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(copies, "doc_id", "left").select("doc_id", F.coalesce("first", "doc_id").alias("rep"))
     return with_rep.join(labels, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))

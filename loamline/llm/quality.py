@@ -120,6 +120,14 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long"), "x", F.coalesce(F.crc32(F.col("doc_id").cast("binary")) % 5 == 0, F.lit(True)).alias("held_out"))
 
 
+def sampled(labels: DataFrame, most: int = 20_000) -> DataFrame:
+    """At most `most` labelled rows that may be learned from, in the order of a hash of doc_id: bounded, whatever the input, and the
+    same in every run. `most` is the documented bound on the sample that a model is fitted on."""
+    known = labels.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    return stash(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most))
+
+
 def learn(rows: DataFrame, labels: DataFrame) -> Model:
     """Fit on the labelled rows that are not held out; labels other than 0 and 1 and null ids are left aside."""
     marks = labels.filter("quality in (0, 1)").select("doc_id", "quality")
