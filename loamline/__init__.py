@@ -1 +1 @@
-"""Loamline: catalogue analytics over source repositories, written as Spark jobs."""
+"""Loamline: analytics over source repositories, written as Spark jobs."""

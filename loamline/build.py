@@ -1,4 +1,4 @@
-"""The build: files and metadata of repositories in, catalogue tables out, as Parquet clustered by what they are looked up by."""
+"""The build: files and metadata of repositories in, tables out, as Parquet clustered by what they are looked up by."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""The queries of a built catalogue: one method each, all lazy but for the few that must look at what they found."""
+"""The queries of a built inventory: one method each, all lazy but for the few that must look at what they found."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from .operators import guarded, search, usage
 TABLES = ("repos", "repo_tech", "repo_languages", "dependencies", "packages", "practice_checks", "ai_assets", "flags", "reusables", "cross_references", "repo_links", "runtime_versions", "sdk_usage", "dependency_usage", "dependency_versions")
 
 
-class Catalog:
+class Inventory:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 

@@ -404,7 +404,7 @@ def resolve(deps: DataFrame) -> DataFrame:
     Locks apply to manifests in their folder and below; the deepest folder wins. Folders of a manifest are exploded to its
     parents, so that the lookup is an equi-join; the best of several locked versions is the one within the declared range.
     """
-    from ..functions.versions import best_match_column
+    from ..functions.versions import best_match
 
     folder = F.regexp_replace("manifest", r"[^/]*$", "")
     locked = deps.filter("is_lock").select("repo_id", "ecosystem", "name", folder.alias("at"), F.col("version").alias("locked"))
@@ -416,4 +416,4 @@ def resolve(deps: DataFrame) -> DataFrame:
     near = declared.withColumn("at", F.explode(ups)).join(locked, ["repo_id", "ecosystem", "name", "at"]).groupBy(*keys).agg(F.max_by("versions", F.length("at")).alias("versions"))
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
     joined = declared.alias("d").join(near.alias("n"), same, "left").select("d.*", "n.versions")
-    return joined.withColumn("resolved", best_match_column(F.col("versions"), F.col("version"), F.col("ecosystem"))).drop("versions")
+    return joined.withColumn("resolved", best_match(F.col("versions"), F.col("version"), F.col("ecosystem"))).drop("versions")

@@ -1,4 +1,4 @@
-"""Ranked full-text search over catalogue tables: prefix terms, weighted BM25, and the AND, OR, substring ladder."""
+"""Ranked full-text search over tables: prefix terms, weighted BM25, and the AND, OR, substring ladder."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""The registered catalogue queries over the driver's tables, each with the DuckDB SQL that must give the same rows."""
+"""The registered queries over the driver's tables, each with the DuckDB SQL that must give the same rows."""
 
 from __future__ import annotations
 

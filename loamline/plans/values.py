@@ -49,13 +49,34 @@ def cvss3(spark, d):
     return df.withColumn("severity", packages.cvss_severity(F.col("score")))
 
 
-_RANGES = [("1.4.2", "^1.2", "npm", True), ("2.0.0", "^1.2", "npm", False), ("2.0.0-rc.1", ">=1 <2.0.0", "npm", False), ("2.5", "~=2.2", "pypi", True), ("1.9.0", "~1.2", "composer", True), ("2.2.0", "~> 2.1.4", "gem", False), ("x", "^1", "npm", None)]
+#: Rules of every operator and ecosystem, with a version on either side of each edge.
+_RANGES = [
+    ("1.4.2", "^1.2", "npm", True), ("2.0.0", "^1.2", "npm", False), ("0.3.1", "^0.2.3", "npm", False), ("0.0.4", "^0.0.3", "npm", False), ("0.0.3", "^0.0.3", "npm", True),
+    ("2.0.0-rc.1", ">=1 <2.0.0", "npm", False), ("4.0.0-alpha.2", "^3.1", "npm", False), ("6.0.0b2", ">=5,<6", "pypi", False), ("5.3.0-beta", "4.x || >=5.2.0 <5.3", "npm", False),
+    ("7.1.0-rc.3", ">=7.1.0-rc.2", "npm", True), ("7.1.0", ">7.1.0-rc.2", "npm", True), ("7.2.0-rc.3", ">=7.1.0-rc.2", "npm", False), ("28.2-jre", "28.2-jre", "maven", True), ("28.2-android", "28.2-jre", "maven", False), ("28.2-jre", ">=27", "maven", True),
+    ("3.1b2", "==3.1b2", "pypi", True), ("4.2.0rc2", "==4.2.0", "pypi", False), ("4.2.0-beta", "=4.2.0", "npm", False), ("2.4.7", "==2.4", "pypi", False), ("2.4.0", "==2.4", "pypi", True), ("2.4.7", "2.4", "npm", True),
+    ("3.6.1", "!=3.6.*", "pypi", False), ("3.7.0", "!=3.6.*", "pypi", True), ("5.1.3.4", "5.1.3.3", "nuget", False), ("5.1.3.3", "5.1.3.3", "nuget", True),
+    ("2.9.0", "~2.3", "composer", True), ("3.0.0", "~2.3", "composer", False), ("2.3.8", "~2.3.4", "composer", True), ("2.4.0", "~2.3.4", "composer", False), ("2.6.0", "^2.3@beta", "composer", True),
+    ("2.4.0", "~2.3", "npm", False), ("2.3.9", ">2.3", "npm", False), ("2.4.0", ">2.3", "npm", True), ("2.3.9", "<=2.3", "npm", True), ("3.5.0", "~> 3", "gem", True), ("2.2.0", "~> 2.1.4", "gem", False),
+    ("2.5", "~=2.2", "pypi", True), ("3.0", "~=2.2", "pypi", False), ("1.0.post1", ">1.0", "pypi", True), ("2.0.dev3", ">=1.0", "pypi", False), ("1.3.0", "1.2", "cargo", True), ("2.0.0", "1.2", "cargo", False),
+    ("2.1.0", "1.2.3 - 2", "npm", True), ("3.0.0", "1.2.3 - 2", "npm", False), ("20240131123456.0.1", ">20240131123455", "npm", True), ("1.2.3+build.7", "1.2.3", "npm", True), ("9.9.9", "*", "npm", True),
+    ("1.0.0", "workspace:*", "npm", None), ("x", "^1", "npm", None), ("1.0", "", "npm", None), ("1.5", "npm:other@^1.2", "npm", True),
+]
 
 
 @query("SELECT version, spec, ecosystem, ok FROM (VALUES " + ", ".join(f"('{v}', '{s}', '{e}', CAST({'NULL' if k is None else str(k).upper()} AS BOOLEAN))" for v, s, e, k in _RANGES) + ") t(version, spec, ecosystem, ok)")
 def version_satisfies(spark, d):
     df = spark.createDataFrame([r[:3] for r in _RANGES], "version string, spec string, ecosystem string")
-    return df.withColumn("ok", versions.satisfies_column(F.col("version"), F.col("spec"), F.col("ecosystem")))
+    return df.withColumn("ok", versions.satisfies(F.col("version"), F.col("spec"), F.col("ecosystem")))
+
+
+@query("""WITH v AS (SELECT DISTINCT l_suppkey AS repo_id, CAST(l_linenumber AS INTEGER) AS major, CAST(l_quantity AS INTEGER) AS minor FROM lineitem)
+SELECT repo_id, arg_max(CAST(major AS VARCHAR) || '.' || CAST(minor AS VARCHAR), major * 1000 + minor) AS best FROM v WHERE major BETWEEN 2 AND 3 OR (major = 4 AND minor < 12) GROUP BY repo_id""")
+def version_best_match(spark, d):
+    found = fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("repo_id"), F.concat_ws(".", F.col("l_linenumber").cast("int"), F.col("l_quantity").cast("int")).alias("version")).distinct()
+    per = found.groupBy("repo_id").agg(F.collect_list("version").alias("versions"))  # at most 7 x 50 of a repository
+    best = versions.best_match(F.col("versions"), F.lit(">=2.0 <4.12"), F.lit("npm"))
+    return per.select("repo_id", best.alias("best")).filter("best is not null")
 
 
 @query("SELECT page_id, regexp_extract(url, '://[^/?#]*/([^?#]*)', 1) AS path FROM pages WHERE regexp_matches(regexp_extract(url, '://[^/?#]*/([^?#]*)', 1), '(?i)^(en|de)/[^/]*[.]html$|^fr/.*$')")

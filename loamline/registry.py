@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalog, values
+from .plans import tables, values
 
-QUERIES: dict = {**catalog.QUERIES, **values.QUERIES}
-ORACLES: dict = {**catalog.ORACLES, **values.ORACLES}
+QUERIES: dict = {**tables.QUERIES, **values.QUERIES}
+ORACLES: dict = {**tables.ORACLES, **values.ORACLES}

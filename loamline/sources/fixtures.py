@@ -1,4 +1,4 @@
-"""Bindings: catalogue-shaped tables over the driver's tables, and the same bindings as DuckDB SQL for the oracles."""
+"""Bindings: repository-shaped tables over the driver's tables, and the same bindings as DuckDB SQL for the oracles."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Sinks: catalogue tables as Parquet clustered by their lookup key, records as JSON, lists as CSV; unchanged data is not rewritten."""
+"""Sinks: tables as Parquet clustered by their lookup key, records as JSON, lists as CSV; unchanged data is not rewritten."""
 
 from __future__ import annotations
 

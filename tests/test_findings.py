@@ -112,8 +112,16 @@ def test_guard(spark):
     df = spark.range(5)
     assert guarded.read_only_sql(spark, "select id from t order by id;", {"t": df}, limit=0).count() == 1
     assert guarded.read_only_sql(spark, "with x as (select 1 a) select ';' s from x", {}).first().s == ";"
-    for bad in ("drop table t", "select 1; select 2", "select 1 -- x", "with x as (select 1) insert into t select * from x", "pragma x", ""):
-        with pytest.raises(Exception):
+    assert guarded.read_only_sql(spark, "select a.id from t a join (select max(id) m from T) b on a.id = b.m where exists (select 1 from t)", {"t": df}).first().id == 4
+    assert guarded.read_only_sql(spark, "select 'java_method(1)' s, count(*) over () n from t", {"t": df}).count() == 5
+    refused = (
+        "drop table t", "select 1; select 2", "select 1 -- x", "with x as (select 1) insert into t select * from x", "pragma x", "", "select id frm t",
+        "select * from text.`/etc/hostname`", "select * from text.hostname", "select * from `text`.`/etc/hostname`", "select * from other", "select id from t where id in (select value from csv.`/etc/passwd`)",
+        "with x as (select * from text.`/etc/hostname`) select * from x", "select (select max(value) from text.`/etc/hostname`)", "select java_method('java.lang.System', 'getenv', 'PATH')", "select REFLECT ('java.lang.System', 'getenv', 'PATH')",
+        "select `java_method`('java.lang.System', 'getenv', 'PATH')", "select try_reflect('a', 'b')", "select identifier('java_' || 'method')('a', 'b')", "select * from identifier('t')", "select * from range(9)", "select transform(id) using 'cat' from t",
+    )
+    for bad in refused:
+        with pytest.raises(ValueError):
             guarded.read_only_sql(spark, bad, {"t": df})
 
 

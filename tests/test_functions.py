@@ -6,25 +6,31 @@ from pyspark.sql import functions as F
 from loamline.functions import globs, packages, text, versions
 
 
-@pytest.mark.parametrize(
-    ("version", "spec", "ecosystem", "want"),
-    [
+def test_satisfies(spark):
+    rows = [
         ("1.4.2", "^1.2", "npm", True), ("2.0.0", "^1.2", "npm", False), ("0.3.1", "^0.2.3", "npm", False), ("0.2.9", "^0.2.3", "npm", True),
         ("1.2.9", "~1.2.3", "npm", True), ("1.3.0", "~1.2.3", "npm", False), ("2.0.0-rc.1", ">=1 <2.0.0", "npm", False), ("1.0.0-rc.2", ">=1.0.0-rc.1", "npm", True),
         ("1.5.0", "1.x || 3.x", "npm", True), ("2.1.0", "1.2.3 - 2", "npm", True), ("3.0.0", "1.2.3 - 2", "npm", False), ("1.0.0", "workspace:*", "npm", None), ("nope", "^1", "npm", None),
         ("2.5", "~=2.2", "pypi", True), ("3.0", "~=2.2", "pypi", False), ("2.0rc1", ">=1", "pypi", False), ("1.0.post1", ">1.0", "pypi", True), ("1.4.9", "!=1.4.*", "pypi", False),
         ("2.9.9", "~> 2.1", "gem", True), ("2.2.0", "~> 2.1.4", "gem", False), ("1.9.0", "~1.2", "composer", True), ("1.2.0", "1.1", "cargo", True), ("30.0-jre", "30.0-jre", "maven", True), ("30.0-android", "30.0-jre", "maven", False),
-    ],
-)
-def test_satisfies(version, spec, ecosystem, want):
-    assert versions.satisfies(version, spec, ecosystem) is want
+    ]
+    df = spark.createDataFrame(rows, "v string, s string, e string, want boolean").withColumn("got", versions.satisfies(F.col("v"), F.col("s"), F.col("e")))
+    assert [tuple(r) for r in df.collect()] == [(*r, r[3]) for r in rows]
 
 
-def test_best_match():
-    assert versions.best_match(["1.9.0", "1.10.0", "2.0.0-beta"], ">=1 <2", "npm") == "1.10.0"
-    assert versions.best_match(["3.0.0"], "^1", "npm") is None
-    assert versions.best_match(["3.0.0"], "git+ssh://x", "npm") == "3.0.0"
-    assert versions.best_match([], "^1", "npm") is None
+def test_best_match(spark):
+    rows = [
+        (["1.9.0", "1.10.0", "2.0.0-beta"], ">=1 <2", "npm", "1.10.0"), (["3.0.0"], "^1", "npm", None), (["3.0.0"], "git+ssh://x", "npm", "3.0.0"), (["3.0.0", "4.0.0"], None, "npm", None), ([], "^1", "npm", None), (None, "^1", "npm", None),
+        (["4.0.0-rc.12", "4.0.0-rc.3"], ">=4.0.0-rc.1", "npm", "4.0.0-rc.12"), (["8.1.0", "9.0.0rc2"], ">=8,<9", "pypi", "8.1.0"), (["6.1.0.3", "6.1.0.2"], "6.1.0.2", "nuget", "6.1.0.2"), (["x", "1.2.0"], "^1", None, "1.2.0"),
+    ]
+    df = spark.createDataFrame(rows, "v array<string>, s string, e string, want string").withColumn("got", versions.best_match(F.col("v"), F.col("s"), F.col("e")))
+    assert [r.got for r in df.collect()] == [r[3] for r in rows]
+
+
+def test_sort_key_of_long_numbers(spark):
+    rows = [("20240131123456.2",), ("20240131123456.10",), ("9.1",), ("v10.0",), ("1.x",)]
+    df = spark.createDataFrame(rows, "v string").orderBy(versions.sort_key(F.col("v")))
+    assert [r.v for r in df.collect()] == ["9.1", "v10.0", "20240131123456.2", "20240131123456.10", "1.x"]
 
 
 def value(spark, column):
@@ -37,9 +43,9 @@ def test_exact_version(spark):
     assert [(r.e, r.s, r.got) for r in df.collect()] == rows
 
 
-def test_udfs_take_nulls(spark):
+def test_ranges_take_nulls(spark):
     df = spark.createDataFrame([("1.2.0", "^1", "npm"), (None, "^1", "npm"), ("1.2.0", None, None)], "v string, s string, e string")
-    assert [r[0] for r in df.select(versions.satisfies_column(F.col("v"), F.col("s"), F.col("e"))).collect()] == [True, None, None]
+    assert [r[0] for r in df.select(versions.satisfies(F.col("v"), F.col("s"), F.col("e"))).collect()] == [True, None, None]
 
 
 def test_purl_round_trip(spark):

@@ -1,11 +1,11 @@
-"""A catalogue of two small repositories, built and asked."""
+"""An inventory of two small repositories, built and asked."""
 
 import json
 
 import pytest
 
 from loamline.__main__ import main
-from loamline.catalog import Catalog
+from loamline.inventory import Inventory
 
 FILES = {
     "acme/lib/package.json": '{"name": "@acme/lib", "dependencies": {"left": "^1.0.0"}}',
@@ -21,18 +21,18 @@ FILES = {
 
 
 @pytest.fixture(scope="module")
-def catalog(spark, tmp_path_factory):
+def inventory(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("checkouts")
     for path, text in FILES.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text(text)
-    out = str(tmp_path_factory.mktemp("catalog"))
-    assert main(["--catalog", out, "build", str(root)]) == 0
-    return Catalog(spark, out)
+    out = str(tmp_path_factory.mktemp("inventory"))
+    assert main(["--tables", out, "build", str(root)]) == 0
+    return Inventory(spark, out)
 
 
-def test_queries(catalog):
-    c = catalog
+def test_queries(inventory):
+    c = inventory
     assert [r.id for r in c.search_repos("boxes").collect()] == ["acme/lib"]
     assert [r.id for r in c.search_repos("boxes nosuch").collect()] == ["acme/lib"]
     assert c.search_repos("100%_").count() == 0
@@ -50,8 +50,8 @@ def test_queries(catalog):
     assert asset.name == "AGENTS" and c.get_asset(asset.id)["kind"] == "instructions" and c.get_asset("no") is None
 
 
-def test_names_and_links(catalog):
-    c = catalog
+def test_names_and_links(inventory):
+    c = inventory
     assert c.resolve_repo("WEB") == ["acme/web", "other/web"] and c.resolve_repo("lib") == ["acme/lib"] and c.resolve_repo("%") == []
     assert c.relationships("acme/web")["depends_on"] == [{"repo": "acme/lib", "via": "npm @acme/lib"}]
     assert c.relationships("lib")["used_by_total"] == 1
@@ -60,8 +60,8 @@ def test_names_and_links(catalog):
     assert c.sql("select count(*) as n from repos") == [{"n": 3}]
 
 
-def test_command_line(catalog, capsys):
-    assert main(["--catalog", catalog.path, "sql", "select id from repos order by id limit 1"]) == 0
+def test_command_line(inventory, capsys):
+    assert main(["--tables", inventory.path, "sql", "select id from repos order by id limit 1"]) == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"id": "acme/lib"}
 
 

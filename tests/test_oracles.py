@@ -1,4 +1,4 @@
-"""Every catalogue query against its SQL equivalent on the small tables."""
+"""Every query against its SQL equivalent on the small tables."""
 
 import os
 
