@@ -207,10 +207,10 @@ def _star(texts: DataFrame, shared: DataFrame, k: int, least: float, shard: int
     return stash(rows.mapInPandas(_verify(k, least), "a long, b long"))
 
 
-def _stray_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: DataFrame, k: int, least: float, block: int) -> DataFrame:
+def _stray_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: DataFrame, k: int, least: float, block: int, most: int = 128) -> DataFrame:
     """(a, b): links between classes that the comparison with leaders left apart in one bucket. Leaders have been compared with
     all, so others remain: what is outside the bucket's largest class is compared with all of the bucket, in cells
-    of two blocks of about `block` bytes of text."""
+    of two blocks of about `block` bytes and `most` texts."""
     tagged = shared.filter("doc_id <> leader").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     tagged = stash(tagged.select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")))
     classes = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n"))
@@ -218,8 +218,8 @@ def _stray_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes:
     members = _distinct_sets(join_split(tagged, mixed, ["bucket"])).join(sizes, "doc_id")
     members = stash(members)
     stray = F.col("label") != F.col("main")
-    blocks = lambda size: F.ceil(F.coalesce(F.sum(size), F.lit(0)) / block).cast("int")
-    counts = members.groupBy("bucket").agg(F.greatest(blocks("size"), F.lit(1)).alias("all_blocks"), F.greatest(blocks(F.when(stray, F.col("size"))), F.lit(1)).alias("stray_blocks"))
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(size), F.lit(0)) / block), F.ceil(F.count(size) / most)).cast("int")
+    counts = members.groupBy("bucket").agg(blocks(F.col("size")).alias("all_blocks"), blocks(F.when(stray, F.col("size"))).alias("stray_blocks"))
     members = join_split(members, counts, ["bucket"])
     place = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -72,15 +72,14 @@ QUERIES = {
 ORACLES: dict[str, str] = {}
 
 ORACLES["op8_exact_top"] = """
-WITH parts AS (
-  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-), bad AS (SELECT DISTINCT vec_id FROM parts WHERE x IS NULL OR NOT isfinite(x)),
-ints AS (
-  SELECT vec_id, pos, floor(256 * x)::BIGINT AS x FROM parts WHERE vec_id NOT IN (SELECT vec_id FROM bad)
+WITH good AS (
+  SELECT vec_id, min(embedding) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+), ints AS (
+  SELECT vec_id, len(v) AS d, generate_subscripts(v, 1) AS pos, floor(256 * unnest(v)::DOUBLE)::BIGINT AS x FROM good
 ), scored AS (
   SELECT q.vec_id AS query_id, v.vec_id, sum(q.x * v.x)::BIGINT AS score
-  FROM ints q JOIN ints v ON q.pos = v.pos AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+  FROM ints q JOIN ints v ON q.pos = v.pos AND q.d = v.d AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -20,14 +20,12 @@ from .common import stash
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """vec_id, v (array of doubles): one row per vec_id, without null ids and vectors that are null, empty or hold null or
-    non-finite components. Rows that repeat a vec_id count once, by the smallest vector; of several dimensions the
-    commonest (then the smallest) takes part."""
-    v = F.transform(F.col(column), lambda x: x.cast("double"))
-    rows = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    """vec_id, d (dimension), v: one row per vec_id, without null ids and vectors that are null, empty or hold null or non-finite
+    components. Components keep their type. Rows that repeat a vec_id are one row, the smallest vector. Vectors of every
+    dimension take part; a product is of vectors of one dimension, so others are no candidates of a query."""
+    rows = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).alias("v"))
     rows = rows.filter(F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("v") > 0), F.lit(False)))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return rows.filter(F.size("v") == (sizes.d if sizes else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", F.size("v").alias("d"), "v")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -65,6 +63,9 @@ class PStable:
             total = total * 128 + (cells[..., k].astype(np.int64) % 128)
         return total
 
+    def table_of(self, bucket: int) -> int:
+        return bucket >> (7 * self.a.shape[2])
+
     def place(self, x: np.ndarray) -> np.ndarray:
         """(vectors, tables) bucket numbers of candidates."""
         y = x / self.norm
@@ -86,33 +87,35 @@ class PStable:
         return np.moveaxis(self._codes(cell[:, :, None, :] + self.moves[order]), 0, 1).reshape(len(q), -1)
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 6, functions: int = 4, width: float = 2.0, probes: int = 8, block: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, functions: int = 3, width: float = 1.5, probes: int = 18, block: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose vec_id is divisible by `every` its k nearest found.
 
-    Nearness is the inner product of the original vectors in doubles; ties go to the smaller vec_id; a query is no candidate of its
-    own. Zero vectors take no part. A bucket of any size is worked on in whole, in blocks; a query whose buckets hold too
-    few candidates is compared with all vectors. More tables and probes raise recall; more functions or a smaller width
-    make buckets smaller.
+    Nearness is the inner product of the original vectors in doubles; ties, however many, go to the smaller vec_id; a query is no
+    candidate of its own. Zero vectors take no part, nor those that `usable` leaves out. A bucket of any size is worked on in
+    whole, in blocks; a pair that meets in several tables is scored exactly in the first only; a query whose buckets
+    hold too few candidates is compared with all vectors. More tables and probes raise recall; more functions or a
+    smaller width make buckets smaller.
     """
     base = stash(usable(vectors).filter(F.exists("v", lambda x: x != 0)))
-    shape = base.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm")).first()
-    hashes = PStable(shape.d or 1, shape.norm or 1.0, tables, functions, width)
-
-    def index(batches):
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"vec_id": np.repeat(b.vec_id, tables), "bucket": hashes.place(_matrix(b.v)).reshape(-1), "v": np.repeat(b.v.to_numpy(), tables)})
-
-    def probe(batches):
-        for b in batches:
-            if len(b):
-                n = tables * min(probes, 3**functions)
-                yield pd.DataFrame({"vec_id": np.repeat(b.vec_id, n), "bucket": hashes.probes(_matrix(b.v), probes).reshape(-1), "v": np.repeat(b.v.to_numpy(), n)})
-
-    schema = "vec_id long, bucket long, v array<double>"
-    placed = base.mapInPandas(index, schema)
-    asked = base.filter(F.col("vec_id") % every == 0).mapInPandas(probe, schema)
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).join(asked.groupBy("bucket").agg(F.count("*").alias("n_asked")), "bucket")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    shapes = base.groupBy("d").agg(F.count("*").alias("n"), F.max(norm).alias("norm")).collect()  # a row for each dimension
+    hashes = {r.d: PStable(r.d, r.norm, tables, functions, width) for r in shapes}
+    most = min(probes, 3**functions)
+
+    def hashed(per_row: int, codes):
+        def run(batches):
+            for b in batches:
+                for d, g in b.groupby("d"):
+                    yield pd.DataFrame({"vec_id": np.repeat(g.vec_id, per_row), "d": d, "bucket": codes(hashes[d], _matrix(g.v)).reshape(-1), "v": np.repeat(g.v.to_numpy(), per_row)})
+
+        return run
+
+    kind = base.schema["v"].dataType.simpleString()
+    schema = f"vec_id long, d int, bucket long, v {kind}"
+    queries = base.filter(F.col("vec_id") % every == 0)
+    placed = base.mapInPandas(hashed(tables, lambda h, x: h.place(x)), schema)
+    asked = queries.mapInPandas(hashed(tables * most, lambda h, x: h.probes(x, most)), schema)
+    sizes = placed.groupBy("d", "bucket").agg(F.count("*").alias("n")).join(asked.groupBy("d", "bucket").agg(F.count("*").alias("n_asked")), ["d", "bucket"])
     sizes = stash(sizes)
 
     def dealt(rows: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:
@@ -120,9 +123,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 6, f
         blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
         mine = F.pmod(F.xxhash64("vec_id"), blocks(own)).cast("int")
         theirs = F.explode(F.sequence(F.lit(0), blocks(other) - 1))
-        return rows.join(sizes, "bucket").select("bucket", mine.alias("own"), theirs.alias("other"), "vec_id", "v").select("bucket", F.col("other" if is_query else "own").alias("i"), F.col("own" if is_query else "other").alias("j"), F.lit(is_query).alias("query"), "vec_id", "v")
+        cut = rows.join(sizes, ["d", "bucket"]).select("d", "bucket", mine.alias("own"), theirs.alias("other"), "vec_id", "v")
+        return cut.select("d", "bucket", F.col("other" if is_query else "own").alias("i"), F.col("own" if is_query else "other").alias("j"), F.lit(is_query).alias("query"), "vec_id", "v")
 
-    def compare(x: pd.DataFrame) -> pd.DataFrame:
+    def compare(x: pd.DataFrame, met=None) -> pd.DataFrame:
         asks, have = x[x["query"]], x[~x["query"]]
         if not len(asks) or not len(have):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
@@ -133,29 +137,50 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 6, f
         # rough and exact products each err by at most d * eps * |q| * |v|; all within that of the k-th are kept, however many tie
         slack = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
         least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] - slack if k < len(ids) else np.full(len(of), -np.inf)
+        close = (rough >= least[:, None]) & (ids[None, :] != of[:, None])
+        if met is not None:
+            close &= ~met(q, v, close)
         found = []
         for i, query in enumerate(of):
-            near = np.flatnonzero((rough[i] >= least[i]) & (ids != query))
+            near = np.flatnonzero(close[i])
             exact = (q[i] * v[near]).sum(axis=1)  # the same sum wherever the pair meets
             best = np.lexsort((ids[near], -exact))[:k]
             found.append((np.full(len(best), query), ids[near[best]], exact[best]))
         return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("query_id", "vec_id", "score"), zip(*found))})
 
+    def probed(x: pd.DataFrame) -> pd.DataFrame:
+        """A cell of a bucket; pairs that meet in an earlier table's bucket are left to it: if they are among the best there is a
+        cell of that table that has them among its best."""
+        own, bucket = hashes[int(x.d.iat[0])], int(x.bucket.iat[0])
+
+        def met(q, v, close):
+            table = own.table_of(bucket)
+            out = np.zeros(close.shape, bool)
+            if table:
+                places, asks = own.place(v), own.probes(q, most).reshape(len(q), tables, most)
+                for i in np.flatnonzero(close.any(axis=1)):
+                    near = np.flatnonzero(close[i])
+                    out[i, near] = (places[near][:, :table, None] == asks[i][None, :table, :]).any(axis=(1, 2))
+            return out
+
+        return compare(x, met)
+
     result = "query_id long, vec_id long, score double"
     cells = dealt(placed, "n", "n_asked", False).union(dealt(asked, "n_asked", "n", True))
-    found = stash(_best(F.col("score"), cells.groupBy("bucket", "i", "j").applyInPandas(compare, result).distinct(), k))
-    # queries whose buckets hold fewer than k candidates while the table holds more are compared with every block
+    found = stash(_best(F.col("score"), cells.groupBy("d", "bucket", "i", "j").applyInPandas(probed, result), k))
+    # queries whose buckets hold fewer than k candidates while more have their dimension are compared with every block
     have = found.groupBy("query_id").agg(F.count("*").alias("have")).withColumnRenamed("query_id", "vec_id")
-    short = base.filter(F.col("vec_id") % every == 0).join(have, "vec_id", "left").filter(F.coalesce("have", F.lit(0)) < min(k, shape.n - 1)).select("vec_id", "v")
+    counts = base.groupBy("d").agg(F.count("*").alias("n"))
+    short = queries.join(have, "vec_id", "left").join(counts, "d").filter(F.coalesce("have", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("vec_id", "d", "v")
     short = stash(short)
     if short.isEmpty():
         return found
-    rows, queries = math.ceil(shape.n / block), math.ceil(short.count() / block)
+    rows, asking = math.ceil(sum(r.n for r in shapes) / block), math.ceil(short.count() / block)
     mine = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = base.select(mine(rows).alias("i"), each(queries).alias("j"), F.lit(False).alias("query"), "vec_id", "v")
-    right = short.select(each(rows).alias("i"), mine(queries).alias("j"), F.lit(True).alias("query"), "vec_id", "v")
-    rest = left.union(right).groupBy("i", "j").applyInPandas(compare, result)
+    left = base.join(short.select("d").distinct(), "d", "left_semi").select("d", mine(rows).alias("i"), each(asking).alias("j"), F.lit(False).alias("query"), "vec_id", "v")
+    right = short.select("d", each(rows).alias("i"), mine(asking).alias("j"), F.lit(True).alias("query"), "vec_id", "v")
+    rest = left.union(right).groupBy("d", "i", "j").applyInPandas(lambda x: compare(x), result)
     return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").union(_best(F.col("score"), rest, k))
 
 
@@ -172,51 +197,71 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.column_stack([f for p in parts for f in (p.mean(axis=1) * math.sqrt(p.shape[1]), p.std(axis=1) * math.sqrt(p.shape[1]))])
 
 
-def search_cell(q: np.ndarray, of: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, resolutions: tuple[int, ...]) -> list[tuple[int, int, int]]:
-    """The k best (query id, vector id, score) of every query in a block; q and v hold integers, ids ascend."""
-    least = np.full(len(q), -np.inf)
+def search_cell(q: np.ndarray, of: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, resolutions: tuple[int, ...], least: np.ndarray | None = None, left: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """The k best (query id, vector id, score) of every query in a block; q and v hold integers, ids ascend.
+
+    least: scores that k other vectors are known to reach, by query; what cannot reach its query's is dropped. left: gets the number
+    of pairs that are left at the start and after each resolution.
+    """
+    least = np.full(len(q), -np.inf) if least is None else least.astype(float)
     alive = of[:, None] != ids[None, :]
-    rows = np.arange(len(ids))
+    left = [] if left is None else left
+    left.append(int(alive.sum()))
     for n, segments in enumerate(resolutions):
+        rows = np.flatnonzero(alive.any(axis=0))
         bound = segment_features(q, segments) @ segment_features(v[rows], segments).T
-        if n == 0:  # exact scores of the most promising vectors give the first threshold
-            first = np.argsort(-np.where(alive, bound, -np.inf), axis=1, kind="stable")[:, : 4 * k]
-            seen = np.where(np.take_along_axis(alive, first, axis=1), np.einsum("qd,qnd->qn", q, v[first]), -np.inf)
+        if n == 0 and len(rows):  # exact scores of the most promising vectors raise the threshold
+            first = np.argsort(-np.where(alive[:, rows], bound, -np.inf), axis=1, kind="stable")[:, : 4 * k]
+            seen = np.where(np.take_along_axis(alive[:, rows], first, axis=1), np.einsum("qd,qnd->qn", q, v[rows[first]]), -np.inf)
             if seen.shape[1] >= k:
-                least = -np.sort(-seen, axis=1)[:, k - 1]
+                least = np.maximum(least, -np.sort(-seen, axis=1)[:, k - 1])
         slack = 1e-6 * (1 + np.abs(bound))
-        keep = alive[:, rows] & (bound + slack >= least[:, None])
-        alive[:, rows] = keep
-        rows = rows[keep.any(axis=0)]
+        alive[:, rows] &= bound + slack >= least[:, None]
+        left.append(int(alive.sum()))
     out = []
-    exact = q @ v[rows].T  # products of integers: doubles hold them exactly
-    exact[~alive[:, rows]] = -np.inf
-    for i, s in enumerate(exact):
-        best = np.argsort(-s, kind="stable")[:k]
-        out += [(int(of[i]), int(ids[rows[j]]), int(s[j])) for j in best if s[j] > -np.inf]
+    for i in range(len(q)):  # products of integers, of the pairs that are left: doubles hold them exactly
+        near = np.flatnonzero(alive[i])
+        s = v[near] @ q[i]
+        out += [(int(of[i]), int(ids[near[j]]), int(s[j])) for j in np.argsort(-s, kind="stable")[:k]]
     return out
 
 
-def exact_top(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, block: int = 1024, resolutions: tuple[int, ...] = (1, 4, 16)) -> DataFrame:
+def exact_top(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, block: int = 1024, asked: int = 4096, resolutions: tuple[int, ...] = (1, 4, 16, 32)) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of floor(scale * x) for each vec_id divisible by `every`.
 
-    All other vectors are candidates; ties go to the smaller vec_id. Bounds from segment means and deviations, coarse to
-    fine, drop vectors that cannot reach the k best of their block; the survivors' products are exact.
+    All other vectors of the query's dimension are candidates; ties go to the smaller vec_id. Bounds from segment means and
+    deviations, coarse to fine, drop pairs that cannot reach the query's k best; products are computed for the pairs that are
+    left. The first block is searched before the others and gives them their first thresholds. Vectors are dealt to blocks of
+    `block` and move once for each `asked` queries; queries go to every block. Repeated ids, nulls and non-finite
+    components are as in `usable`.
     """
-    whole = F.transform("v", lambda x: F.floor(x * scale))
-    base = stash(usable(vectors).select("vec_id", whole.alias("v")))
+    whole = F.transform("v", lambda x: F.floor(x.cast("double") * scale))
+    base = stash(usable(vectors).select("vec_id", "d", whole.alias("v")))
     is_query = F.col("vec_id") % every == 0
-    n, asked = base.agg(F.count("*"), F.coalesce(F.sum(is_query.cast("int")), F.lit(0))).first()
-    rows, queries = max(1, math.ceil(n / block)), max(1, math.ceil(asked / block))
+    n, n_asked = base.agg(F.count("*"), F.coalesce(F.sum(is_query.cast("int")), F.lit(0))).first()
+    rows, groups = max(1, math.ceil(n / block)), max(1, math.ceil(n_asked / asked))
     mine = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    every_one = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    have = base.select(mine(rows).alias("i"), every_one(queries).alias("j"), F.lit(False).alias("query"), "vec_id", "v")
-    asks = base.filter(is_query).select(every_one(rows).alias("i"), mine(queries).alias("j"), F.lit(True).alias("query"), "vec_id", "v")
+    none = F.lit(None).cast("long")
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
-        a, h = x[x["query"]], x[~x["query"]].sort_values("vec_id")
-        found = search_cell(_matrix(a.v), a.vec_id.to_numpy(), _matrix(h.v), h.vec_id.to_numpy(), k, resolutions) if len(a) and len(h) else []
+        found = []
+        for _, g in x.groupby("d"):
+            a, h = g[g["query"]], g[~g["query"]].sort_values("vec_id")
+            for at in range(0, len(a) if len(h) else 0, 512):
+                part = a.iloc[at : at + 512]
+                found += search_cell(_matrix(part.v), part.vec_id.to_numpy(), _matrix(h.v), h.vec_id.to_numpy(), k, resolutions, part["least"].fillna(-np.inf).to_numpy(float))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype(np.int64)
 
-    found = have.union(asks).groupBy("i", "j").applyInPandas(compare, "query_id long, vec_id long, score long")
+    def searched(blocks: range, queries: DataFrame) -> DataFrame:
+        """Scores of the blocks numbered so."""
+        have = base.withColumn("i", mine(rows)).filter(F.col("i").between(blocks.start, blocks.stop - 1))
+        have = have.select("i", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("j"), F.lit(False).alias("query"), "vec_id", "d", "v", none.alias("least"))
+        asks = queries.select(F.explode(F.sequence(F.lit(blocks.start), F.lit(blocks.stop - 1))).alias("i"), mine(groups).alias("j"), F.lit(True).alias("query"), "vec_id", "d", "v", "least")
+        return have.union(asks).groupBy("i", "j").applyInPandas(compare, "query_id long, vec_id long, score long")
+
+    queries = base.filter(is_query)
+    found = stash(searched(range(1), queries.withColumn("least", none)))
+    if rows > 1:
+        least = _best(F.col("score"), found, k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+        found = found.union(searched(range(1, rows), queries.join(least, "vec_id", "left")))
     return _best(F.col("score"), found, k)

@@ -292,7 +292,7 @@ def embeddings(spark):
     x[500:900] = x[0] + rng.standard_normal((400, 24)) * 0.02  # a hot vector
     x[20] = x[21] = x[22]  # ties
     rows = [(i, [float(v) for v in np.float32(r)], "extra") for i, r in enumerate(x)]
-    rows += [(5000, None, ""), (5050, [], ""), (5100, [0.0] * 24, ""), (5150, [1.0] * 23 + [None], ""), (5200, [1.0] * 23 + [float("nan")], ""), (5250, [1.0] * 23 + [float("inf")], ""), (None, [1.0] * 24, ""), (7, rows[7][1], "again"), (5300, [1.0, 2.0], "short")]
+    rows += [(5000, None, ""), (5050, [], ""), (5100, [0.0] * 24, ""), (5150, [1.0] * 23 + [None], ""), (5200, [1.0] * 23 + [float("nan")], ""), (5250, [1.0] * 23 + [float("inf")], ""), (None, [1.0] * 24, ""), (7, rows[7][1], "again"), (5300, [1.0, 2.0], "short"), (5301, [0.5, 2.0], "short")]
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(6).cache(), np.float32(x).astype(np.float64)
 
 
@@ -301,6 +301,7 @@ def test_nearest(embeddings):
     got = {}
     for r in vectors.nearest(df, block=200).collect():
         got.setdefault(r.query_id, []).append(r)
+    assert [(r.rank, r.vec_id) for r in got.pop(5300)] == [(1, 5301)]  # the other one of its dimension
     assert set(got) == set(range(0, 1500, 20))
     s = x @ x.T
     found = 0
@@ -356,6 +357,23 @@ def test_exact_top(embeddings):
     assert {tuple(r) for r in vectors.exact_top(df.filter("vec_id <> 5100"), block=170).select("query_id", "rank", "vec_id", "score").collect() if r[0] < 5000} == want
 
 
+def test_bounds_drop_pairs():
+    """Every resolution drops pairs, what is left holds the best, and a threshold that is carried over drops more."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((12, 48)).cumsum(axis=1)
+    x = np.floor(64 * (centres[rng.integers(12, size=900)] + 0.4 * rng.standard_normal((900, 48))))
+    ids = np.arange(900)
+    q, of = x[:40], ids[:40]
+    s = q @ x.T
+    s[np.arange(40), np.arange(40)] = -np.inf
+    want = [(i, int(j), int(s[i, j])) for i in range(40) for j in np.argsort(-s[i], kind="stable")[:5]]
+    left, fewer = [], []
+    assert vectors.search_cell(q, of, x, ids, 5, (1, 4, 16), None, left) == want
+    assert left[0] == 40 * 899 and left[0] > left[1] > left[2] > left[3] and left[3] < 0.3 * left[0], left
+    assert vectors.search_cell(q, of, x, ids, 5, (1, 4, 16), -np.sort(-s, axis=1)[:, 4], fewer) == want
+    assert all(a <= b for a, b in zip(fewer, left)) and sum(fewer) < sum(left)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     a, b = rng.standard_normal((40, 30)), rng.standard_normal((50, 30))
