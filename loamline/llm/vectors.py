@@ -87,14 +87,15 @@ class PStable:
         return np.moveaxis(self._codes(cell[:, :, None, :] + self.moves[order]), 0, 1).reshape(len(q), -1)
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, functions: int = 3, width: float = 1.5, probes: int = 18, block: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, functions: int = 3, width: float = 1.5, probes: int = 18, block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose vec_id is divisible by `every` its k nearest found.
 
     Nearness is the inner product of the original vectors in doubles; ties, however many, go to the smaller vec_id; a query is no
     candidate of its own. Zero vectors take no part, nor those that `usable` leaves out. A bucket of any size is worked on in
-    whole, in blocks; a pair that meets in several tables is scored exactly in the first only; a query whose buckets
-    hold too few candidates is compared with all vectors. More tables and probes raise recall; more functions or a
-    smaller width make buckets smaller.
+    whole, in blocks; a pair that meets in several tables is scored exactly in the first only. Buckets are visited in order of
+    estimated success: a block of the first four of each table gives a query its threshold, and the others return what
+    reaches it. A query whose buckets hold too few candidates is compared with all vectors. More tables and probes
+    raise recall; more functions or a smaller width make buckets smaller.
     """
     base = stash(usable(vectors).filter(F.exists("v", lambda x: x != 0)))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -106,12 +107,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, f
         def run(batches):
             for b in batches:
                 for d, g in b.groupby("d"):
-                    yield pd.DataFrame({"vec_id": np.repeat(g.vec_id, per_row), "d": d, "bucket": codes(hashes[d], _matrix(g.v)).reshape(-1), "v": np.repeat(g.v.to_numpy(), per_row)})
+                    nth = np.tile(np.arange(per_row, dtype=np.int32) % most, len(g))
+                    yield pd.DataFrame({"vec_id": np.repeat(g.vec_id, per_row), "d": d, "bucket": codes(hashes[d], _matrix(g.v)).reshape(-1), "nth": nth, "v": np.repeat(g.v.to_numpy(), per_row)})
 
         return run
 
     kind = base.schema["v"].dataType.simpleString()
-    schema = f"vec_id long, d int, bucket long, v {kind}"
+    schema = f"vec_id long, d int, bucket long, nth int, v {kind}"
     queries = base.filter(F.col("vec_id") % every == 0)
     placed = base.mapInPandas(hashed(tables, lambda h, x: h.place(x)), schema)
     asked = queries.mapInPandas(hashed(tables * most, lambda h, x: h.probes(x, most)), schema)
@@ -123,8 +125,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, f
         blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
         mine = F.pmod(F.xxhash64("vec_id"), blocks(own)).cast("int")
         theirs = F.explode(F.sequence(F.lit(0), blocks(other) - 1))
-        cut = rows.join(sizes, ["d", "bucket"]).select("d", "bucket", mine.alias("own"), theirs.alias("other"), "vec_id", "v")
-        return cut.select("d", "bucket", F.col("other" if is_query else "own").alias("i"), F.col("own" if is_query else "other").alias("j"), F.lit(is_query).alias("query"), "vec_id", "v")
+        cut = rows.join(sizes, ["d", "bucket"]).select("d", "bucket", mine.alias("own"), theirs.alias("other"), "vec_id", "v", "nth", F.lit(None).cast("double").alias("least"))
+        return cut.select("d", "bucket", F.col("other" if is_query else "own").alias("i"), F.col("own" if is_query else "other").alias("j"), F.lit(is_query).alias("query"), "vec_id", "v", "nth", "least")
 
     def compare(x: pd.DataFrame, met=None) -> pd.DataFrame:
         asks, have = x[x["query"]], x[~x["query"]]
@@ -137,6 +139,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, f
         # rough and exact products each err by at most d * eps * |q| * |v|; all within that of the k-th are kept, however many tie
         slack = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
         least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] - slack if k < len(ids) else np.full(len(of), -np.inf)
+        known = asks["least"].fillna(-np.inf).to_numpy(float) if "least" in asks else np.full(len(of), -np.inf)
+        least = np.maximum(least, known - slack)
         close = (rough >= least[:, None]) & (ids[None, :] != of[:, None])
         if met is not None:
             close &= ~met(q, v, close)
@@ -145,6 +149,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, f
             near = np.flatnonzero(close[i])
             exact = (q[i] * v[near]).sum(axis=1)  # the same sum wherever the pair meets
             best = np.lexsort((ids[near], -exact))[:k]
+            best = best[exact[best] >= known[i]]
             found.append((np.full(len(best), query), ids[near[best]], exact[best]))
         return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("query_id", "vec_id", "score"), zip(*found))})
 
@@ -166,8 +171,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 2, f
         return compare(x, met)
 
     result = "query_id long, vec_id long, score double"
-    cells = dealt(placed, "n", "n_asked", False).union(dealt(asked, "n_asked", "n", True))
-    found = stash(_best(F.col("score"), cells.groupBy("d", "bucket", "i", "j").applyInPandas(probed, result), k))
+    have, asks = dealt(placed, "n", "n_asked", False), dealt(asked, "n_asked", "n", True)
+    is_first = (F.col("nth") < 4) & (F.col("i") == 0)
+    search = lambda have, asks: _best(F.col("score"), have.union(asks).groupBy("d", "bucket", "i", "j").applyInPandas(probed, result), k)
+    first = stash(search(have.filter("i = 0"), asks.filter(is_first)))
+    least = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("known"))
+    asks = asks.filter(~is_first).join(least, "vec_id", "left").withColumn("least", F.col("known")).select(have.columns)
+    found = stash(_best(F.col("score"), first.drop("rank").unionByName(search(have, asks).drop("rank")), k))
     # queries whose buckets hold fewer than k candidates while more have their dimension are compared with every block
     have = found.groupBy("query_id").agg(F.count("*").alias("have")).withColumnRenamed("query_id", "vec_id")
     counts = base.groupBy("d").agg(F.count("*").alias("n"))
