@@ -1,15 +1,16 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Several sequence lengths are permitted. Pieces come in descending length; each goes to the open bin that it leaves the
-least room in. Where none has room, a bin of the permitted length with the least cost per expected content is opened: the cost of a
-sequence grows with its length and, for attention, with its square, and the expected content is the piece with
-the smaller pieces still to come. In the end every bin is downsized to the shortest permitted length that holds it.
+least room in. Where none has room, a bin is opened: for every permitted length the fill that the pieces still to come can
+give it is tried, and the length with the least cost for a word of its contents is taken, so that the lengths are chosen
+jointly for the sizes at hand. The cost of a sequence grows with its length and, for attention, with its square. In the end
+every bin is downsized to the shortest permitted length that holds it.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
@@ -26,11 +27,24 @@ def cost(length: np.ndarray | int, longest: int) -> np.ndarray | float:
     return 16 + length + length * length / (4 * longest)
 
 
+def filled(falling: list[int], at: int, room: int) -> int:
+    """Words that the pieces from `at` on can put into a room, the largest that fits first; falling: negated sizes, ascending."""
+    start, n = room, len(falling)
+    while room > 0:
+        at = bisect_left(falling, -room, at)
+        if at >= n:
+            break
+        size = -falling[at]
+        many = min(room // size, bisect_right(falling, -size, at) - at)  # a run of equal sizes at once
+        room -= many * size
+        at += many
+    return start - room
+
+
 def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin of each size, offset in it, permitted length of each bin) for sizes in descending order."""
     lengths = tuple(sorted(lengths))
-    rest = np.concatenate([np.cumsum(sizes[::-1])[::-1], [0]])
-    rising = -sizes
+    falling = (-sizes).tolist()
     rooms: list[int] = []
     by_room: dict[int, list[int]] = {}
     fill: list[int] = []
@@ -48,8 +62,8 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndar
             best = None
             for length in lengths:
                 if length >= s:
-                    later = max(i + 1, int(np.searchsorted(rising, -(length - s), side="left")))
-                    price = cost(length, lengths[-1]) / min(length, s + int(rest[later]))
+                    content = s + filled(falling, i + 1, length - s)
+                    price = cost(lengths[bisect_left(lengths, content)], lengths[-1]) / content
                     if best is None or price <= best[0]:
                         best = (price, length)
             room = best[1]
@@ -70,7 +84,8 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndar
 def best_fit(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, group: int = 2048) -> DataFrame:
     """doc_id, nth, piece, start, length, bin_id, bin_length, bin_offset: a row for each piece of each row of docs.
 
-    A text of more words than the longest length is cut into pieces of that length and a rest. Rows alike in doc_id and
+    A text of more words than the longest length, however long, is cut into pieces of that length and a rest. Pieces of equal
+    length go in order of doc_id, nth and piece, and of bins with equal room the last one opened is taken. Rows alike in doc_id and
     size are told apart by nth. Null and blank texts are one row of length 0 in no bin (bin_id null). Pieces
     are dealt at random into groups of about `group` that are packed on their own, so that no task holds more, and
     loss is at most a few bins in each group. The same rows always give the same bins.
