@@ -33,7 +33,7 @@ TEMPLATES = (
 
 #: What parts paragraphs: empty lines, and lines of comment marks alone.
 _BLANK = r"\n[\x20\x09\r]*(?:[#*/;%!-]+[\x20\x09\r]*)?\n\s*"
-#: Most distinct bigrams of all templates: they become literals of the plan.
+#: Most bigrams of the templates that are scanned at once, as they become literals of the plan.
 BOUND = 20_000
 
 
@@ -93,38 +93,64 @@ def _disjoint(windows: Column) -> Column:
     return F.aggregate(F.array_sort(windows), F.slice(windows, 1, 0), add)
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8, bound: int = BOUND) -> DataFrame:
     """doc_id, unit, unit_no, license, template, dice: the best template of every unit with a coefficient of `least` or more.
 
     unit is document, paragraph, line or window; unit_no counts from 0. Windows are runs of words of any length, numbered
     by their first word; they do not overlap, and tell the licences that no other unit of the text tells. templates: (licence, text), numbered from 0; ties go to
     the smaller number. Null and blank texts, and units of one word, match nothing. Repeated rows are each returned.
-    Templates are configuration and bounded: more than BOUND bigrams are refused, and are to be scanned in parts.
+    Texts of any length are scanned whole. Templates of more than `bound` bigrams are scanned in parts, each over all texts, and
+    every unit gets the best over the parts; windows of different parts may overlap. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     given = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, text string")
     known = [r for r in given.select("template", "license", _bigrams(F.col("text")).alias("grams"), F.size(_pairs(F.col("text"))).alias("n")).collect() if r.grams]
+    parts, size = [[]], 0
+    for r in known:
+        if parts[-1] and size + len(r.grams) > bound:
+            parts.append([])
+            size = 0
+        parts[-1].append(r)
+        size += len(r.grams)
+    if len(parts) == 1:
+        return _scan(docs.select("doc_id", "text"), ["doc_id"], known, least)
+    of = ["doc_id", "__text"]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__text"))
+    hits = [_scan(rows, of, part, least) for part in parts]
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.union(more)
+    every = every.groupBy(every.columns).agg(F.count("*").alias("n"))  # of rows alike
+    fields = F.struct("license", "template", "dice", "n")
+    units = every.filter("unit <> 'window'").groupBy(*of, "unit", "unit_no").agg(F.min_by(fields, F.struct(-F.col("dice"), "template")).alias("u"))
+    units = units.select(*of, "unit", "unit_no", "u.*")
+    told = units.select(*of, "license").distinct()
+    windows = every.filter("unit = 'window'").alias("w").join(told.alias("t"), (F.col("w.__text") == F.col("t.__text")) & F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.license") == F.col("t.license")), "left_anti")
+    out = units.union(windows.select(units.columns))
+    return out.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("doc_id", "unit", "unit_no", "license", "template", "dice")
+
+
+def _scan(docs: DataFrame, of: list[str], known: list, least: float) -> DataFrame:
+    """scan over templates within the bound; the columns `of` are carried along."""
     vocabulary = sorted({g for r in known for g in r.grams})
-    if len(vocabulary) > BOUND:
-        raise ValueError(f"the templates hold {len(vocabulary)} bigrams; scan in parts of at most {BOUND}")
     table = F.array(*[F.struct(F.lit(r.template).alias("template"), F.lit(r.license).alias("license"), F.array(*map(F.lit, r.grams)).alias("grams"), F.lit(len(r.grams)).alias("m"), F.lit(r.n).alias("n")) for r in known])
     share = least / (2 - least)
 
     # a matching unit has x bigrams at least, so 2x / (x + m) >= t: it shares ceil(t m / (2 - t)) with a template of m
     fewest = min((len(r.grams) * share for r in known), default=0)
     hits = F.array_intersect(_bigrams(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary)))
-    shared = docs.select("doc_id", "text", F.explode(F.array(hits)).alias("hits")).filter(F.size("hits") >= fewest - 1e-9)
+    shared = docs.select(*of, "text", F.explode(F.array(hits)).alias("hits")).filter(F.size("hits") >= fewest - 1e-9)
     possible = F.filter(table, lambda t: F.size(F.array_intersect(t["grams"], F.col("hits"))) >= t["m"] * share - 1e-9)
-    shared = shared.select("doc_id", "text", F.explode(F.array(possible)).alias("templates")).filter(F.size("templates") > 0)
+    shared = shared.select(*of, "text", F.explode(F.array(possible)).alias("templates")).filter(F.size("templates") > 0)
 
     every = F.concat(_named("document", F.array("text")), _named("paragraph", F.split("text", _BLANK)), _named("line", F.split("text", r"\r?\n")))
-    rows = shared.select("doc_id", "text", "templates", F.explode(F.array(_pairs(F.col("text")))).alias("pairs"))
+    rows = shared.select(*of, "text", "templates", F.explode(F.array(_pairs(F.col("text")))).alias("pairs"))
     units = F.filter(F.transform(every, lambda u: F.struct(u["unit"].alias("unit"), u["unit_no"].alias("unit_no"), _let(_bigrams(u["part"]), lambda g: _best(g, share)).alias("best"))), lambda u: u["best"]["dice"] >= least)
-    rows = rows.select("doc_id", F.explode(F.array(units)).alias("units"), _disjoint(F.flatten(F.transform("templates", lambda t: _windows(t, least, share)))).alias("windows"))
+    rows = rows.select(*of, F.explode(F.array(units)).alias("units"), _disjoint(F.flatten(F.transform("templates", lambda t: _windows(t, least, share)))).alias("windows"))
     told = F.transform("units", lambda u: u["best"]["license"])
     one = lambda unit, no, license, order, dice: F.struct(unit.alias("unit"), no.alias("unit_no"), license.alias("license"), (-order).alias("template"), dice.alias("dice"))
     out = F.concat(
         F.transform("units", lambda u: one(u["unit"], u["unit_no"], u["best"]["license"], u["best"]["order"], u["best"]["dice"])),
         F.transform(F.filter("windows", lambda w: ~F.array_contains(told, w["license"])), lambda w: one(F.lit("window"), w["start"], w["license"], -w["template"], -w["worse"])),
     )
-    return rows.select("doc_id", F.explode(out).alias("u")).select("doc_id", "u.unit", "u.unit_no", "u.license", "u.template", "u.dice")
+    return rows.select(*of, F.explode(out).alias("u")).select(*of, "u.unit", "u.unit_no", "u.license", "u.template", "u.dice")

@@ -21,8 +21,6 @@ from .common import partitions
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"://([^/?#]*)([^?#]*)"
-#: No host has more labels.
-_MOST_LABELS = 127
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -41,13 +39,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
     rules: (host, path, verdict). A rule fits its host and all subdomains if the URL's path starts with its path; the
     longest host and path win; of rules alike, block wins. Without a rule, rule is null and the verdict is `default`.
-    Rules with null host or path fit nothing. Repeated pages are judged once and returned each.
+    Rules with null host or path fit nothing. Repeated pages are judged once and returned each. URLs of any length are
+    judged whole; other columns of pages are not read.
     """
     host, path = url_parts(F.col("url"))
     asked = pages.select("page_id", host.alias("host"), path.alias("path"))
     rules = rules.filter("host is not null and path is not null").groupBy(F.translate("host", _UPPER, _LOWER).alias("host"), "path").agg(F.max("verdict").alias("verdict"))
-    levels = rules.select(F.size(F.split("host", r"\.")).alias("n")).filter(F.col("n") <= _MOST_LABELS).distinct()
-    depths = sorted(r.n for r in levels.collect())  # at most 127 numbers
+    levels = rules.select(F.size(F.split("host", r"\.")).alias("n")).distinct()
+    depths = sorted(r.n for r in levels.collect())  # one number for each depth that rules have, of however many labels
     lanes = partitions(pages.sparkSession)
 
     labels = F.split("host", r"\.")

@@ -75,7 +75,36 @@ def test_substring_dedup(docs, rows):
     got = substring_dedup.remove_repeats(docs).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got) == want
     assert sum(r.n_removed for r in got) > 2000
-    assert all(n >= 50 for r in got for _, n in r.spans)
+    texts = {}
+    for i, t, _ in rows:
+        texts.setdefault(i, []).append(words(t))
+    for r in got:
+        assert len(r.spans) == r.n_factors and all(a + n <= b for (a, n, *_), (b, *_) in zip(r.spans, r.spans[1:]))
+        for start, n, block, place in r.spans:  # every factor stands so in its block, an earlier document
+            assert n >= 50 and block < r.doc_id
+            assert any(w[start : start + n] == v[place : place + n] for w in texts[r.doc_id] for v in texts[block])
+
+
+def test_substring_parse_is_greedy(spark):
+    """A passage that one block holds whole is one factor; where blocks change the cursor moves on, and windows across the border count."""
+    a, b, own = prose(120).split(), prose(130).split(), prose(30).split()
+    mixed = a[10:100] + b[20:90]
+    rows = [(1, a), (2, b), (3, a[60:] + b[:80]), (4, own + a[5:115] + own), (5, own + mixed + own[:7]), (6, own[::-1] + a[60:] + b[:80])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(df).collect()}
+    assert [list(s) for s in got[4].spans] == [[30, 110, 1, 5]]
+    assert [list(s) for s in got[5].spans] == [[30, 90, 1, 10], [120, 70, 2, 20]]
+    assert [list(s) for s in got[6].spans] == [[30, 60, 1, 60], [90, 80, 2, 0]] and got[6].n_removed == 140
+    assert got[3].n_removed == 140 and got[1].n_factors == 0
+
+
+def test_substring_windows_across_factor_ends():
+    """Windows 0-2 stand in block 7, 3-9 in block 9: the factor of three windows ends inside of theirs."""
+    windows = np.arange(100, 112)
+    seen = np.arange(100, 110)
+    block, place = np.where(seen < 103, 7, 9), np.where(seen < 103, seen, seen + 40)
+    factors, straddling = substring_dedup.parse(windows, seen, block, place, 5)
+    assert factors == [(0, 7, 7, 100), (7, 7, 9, 147)] and straddling == [3, 4, 5, 6]
 
 
 # ---------------------------------------------------------------- 9
@@ -194,6 +223,48 @@ def test_packing(docs, rows):
     assert sorted(out, key=str) == sorted(packing.best_fit(docs.repartition(2), lengths, group=40).collect(), key=str)
 
 
+def least_cost(sizes, lengths):
+    """The least cost of any partition into permitted lengths, by trying all."""
+    best = [np.inf]
+
+    def go(i, bins):
+        if i == len(sizes):
+            best[0] = min(best[0], sum(packing.cost(min(n for n in lengths if n >= b), max(lengths)) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= max(lengths):
+                go(i + 1, bins[:k] + [bins[k] + sizes[i]] + bins[k + 1 :])
+        go(i + 1, bins + [sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_is_near_the_least_cost():
+    rng = np.random.default_rng(8)
+    ratios, opened = [], set()
+    for n in (3, 5, 7, 8, 8, 8) * 4:
+        top = rng.choice([120, 400, 900])
+        sizes = np.sort(rng.integers(1, top, n))[::-1].copy()
+        of, offset, final = packing.pack(sizes, (128, 256, 512, 1024))
+        opened |= set(final.tolist())
+        ratios.append(sum(packing.cost(b, 1024) for b in final) / least_cost(sizes.tolist(), (128, 256, 512, 1024)))
+    assert max(ratios) < 1.35 and np.mean(ratios) < 1.06, ratios
+    assert opened == {128, 256, 512, 1024}
+
+
+def test_packing_opens_the_length_that_suits_the_sizes():
+    """Lengths are chosen jointly: pieces that leave much room in one length go to another."""
+    chosen = set()
+    for size in (300, 500, 700, 1000, 1365, 2000, 8000):
+        final = packing.pack(np.full(480, size))[2]
+        price = {n: packing.cost(n, 8192) / (n // size * size) for n in packing.LENGTHS if n >= size}
+        best = [n for n in price if price[n] <= min(price.values()) + 1e-12]
+        chosen |= set(best)
+        assert np.isin(final, best).mean() > 0.8, (size, np.unique(final, return_counts=True))
+    assert len(chosen) >= 4
+
+
 def test_packing_sequences_hold_the_words(spark):
     rows = [(i, prose(RNG.randint(1, 90))) for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -385,7 +456,7 @@ def test_bounds_hold():
 
 
 def test_url_filter(spark):
-    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/es/x", "allow"), ("a.example.org", "", "block"), ("com", "/fr/", "allow"), ("com", "/fr/", "block"), ("x.com", "/", "allow"), (None, "/", "block"), ("net", None, "block")]
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/es/x", "allow"), ("a.example.org", "", "block"), ("com", "/fr/", "allow"), ("com", "/fr/", "block"), ("x.com", "/", "allow"), ("a." * 200 + "org", "/", "block"), (None, "/", "block"), ("net", None, "block")]
     hosts = ["example.org", "a.example.org", "b.a.example.org", "aexample.org", "org", "x.com", "y.x.com", "com", "net", "x.com:80", "é.org", "", "a..org"]
     paths = ["", "/", "/es/", "/es/x/y", "/fr/", "/fr", "/\x02", "/é/"]
     urls = [f"{s}://{h}{p}{t}" for s in ("http", "") for h in hosts for p in paths for t in ("", "?a://b/", "#f")] + ["HTTP://EXAMPLE.ORG/es/", "no scheme", None, "", "x://", "a://b://c.org/", "http://" + "a." * 300 + "org/" + "p" * 5000]
@@ -432,6 +503,18 @@ def test_license_scan(spark):
     assert got == want and len(want) > 40
 
 
+def test_license_templates_beyond_the_bound_go_in_parts(spark):
+    """The best template of every unit is the same however many parts the templates need; one larger than the bound is a part."""
+    lines = [t for _, t in licenses.TEMPLATES]
+    texts = [f"{prose(20)}\n{t}\n{prose(9)}" for t in lines] + [" ".join(w for i, w in enumerate(t.split()) if i % 9) for t in lines] + [None, "", prose(40)]
+    df = spark.createDataFrame([*enumerate(texts), *list(enumerate(texts))[:5]], "doc_id long, text string")
+    units = lambda rows: Counter((*r[:5], round(r.dice, 12)) for r in rows if r.unit != "window")
+    whole = licenses.scan(df).collect()
+    parts = licenses.scan(df, bound=45).collect()
+    assert units(parts) == units(whole) and len(units(whole)) > 20
+    assert {(r.doc_id, r.license) for r in parts} == {(r.doc_id, r.license) for r in whole}
+
+
 def test_license_notices_among_other_words(spark):
     """Notices inside long lines, in wrapped comments, beside one another, and beside notices on lines of their own."""
     lines, number = [t for _, t in licenses.TEMPLATES], {}
