@@ -125,9 +125,14 @@ def contributors(history: DataFrame, top: int = 10) -> DataFrame:
     return per.withColumn("place", F.row_number().over(order).cast("int")).filter(F.col("place") <= top)
 
 
+#: How accounts of bots are named.
+BOTS = r"(?i)\[bot\]|-bot$|^(dependabot|renovate|github-actions)\b"
+
+
 def bus_factor(history: DataFrame, least: int = 30, share: float = 0.9) -> DataFrame:
-    """Repositories where one author holds `share` of at least `least` commits, and that share."""
-    per = history.groupBy("repo_id", "author").agg(F.count("*").alias("commits"))
+    """Repositories where one author holds `share` of at least `least` commits, and that share. Bots are no authors."""
+    people = history.filter(~F.rlike(F.coalesce(F.col("author").cast("string"), F.lit("")), F.lit(BOTS)))
+    per = people.groupBy("repo_id", "author").agg(F.count("*").alias("commits"))
     out = per.groupBy("repo_id").agg(F.sum("commits").alias("total"), F.max("commits").alias("top"))
     return out.withColumn("percent", F.floor(100.0 * F.col("top") / F.col("total")).cast("long")).withColumn("flagged", (F.col("total") >= least) & (F.col("top") >= share * F.col("total")))
 

@@ -109,9 +109,9 @@ def nearest_lockfile(spark, d):
 _DOC = "# One\ntext\n## Two words\n#### deep\n### Three\n"
 
 
-@query("SELECT doc_id, 'One|Two words|Three' AS headings FROM documents")
+@query(f"""SELECT doc_id, array_to_string(list_slice(regexp_extract_all(text || chr(10) || '{_DOC}', '(?m)^#{{1,3}}[ \\t]+(.+)$', 1), 1, 25), '|') AS headings FROM documents""")
 def headings(spark, d):
-    doc = F.concat(F.lit(_DOC), F.replace(F.col("text"), F.lit("#"), F.lit("")))
+    doc = F.concat(F.col("text"), F.lit("\n" + _DOC))
     return fx.table(spark, d, "documents").select("doc_id", F.array_join(T.headings(doc), "|").alias("headings"))
 
 

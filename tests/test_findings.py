@@ -134,3 +134,11 @@ def test_increments(spark):
     listed, owners = spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("o",)], "owner string")
     assert {r.id for r in increments.prune(before, listed, owners).collect()} == {"a", "c"}
     assert {r.id for r in increments.prune(before, listed, owners.limit(0)).collect()} == {"a", "b", "c"}
+
+
+def test_bots_are_no_authors(spark):
+    from loamline.operators import usage
+
+    rows = [("r", "ann")] * 40 + [("r", "dependabot[bot]")] * 60 + [("r", "Renovate-Bot")] * 60 + [("r", "bob")] * 2
+    got = usage.bus_factor(spark.createDataFrame(rows, "repo_id string, author string")).first()
+    assert (got.total, got.top, got.flagged) == (42, 40, True)
