@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Word separators used throughout: space and the five ASCII controls 09-0D.
@@ -46,8 +47,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def spread(df: DataFrame, *order) -> DataFrame:
+    """df stashed in the order of the columns, with the number `part` of the partition that holds the row: every row of
+    a part comes before every row of a later one, so that ranks and running sums need windows within parts only."""
+    return stash(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+
+
+def earlier(rows: DataFrame, **sums) -> DataFrame:
+    """part and, for each name, the sum of its column over all earlier parts: one row for each part of spread's rows."""
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy("part").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    return totals.select("part", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name) for name in sums])
 
 
 def n_words(text) -> F.Column:

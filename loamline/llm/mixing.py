@@ -12,9 +12,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, stash, uniform
+from .common import earlier, n_words, spread, stash, uniform
 
 BLOCK = 48
 #: Most rows of a table that is joined as a broadcast; a larger one is joined by shuffle.
@@ -25,23 +26,25 @@ def targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
     """source, source_size, n, target: one row per source of (source, size, n rows of that size).
 
     Sources in code point order, null last, weigh 1, 2, 3, 1, ...; they share the sum of all sizes, none above `most` times
-    its size. Filling by weight up to the caps has a closed form over the sources in order of cap per weight.
+    its size. Filling by weight up to the caps has a closed form over the sources in order of cap per weight. Both orders are
+    range-partitioned; ranks and sums are counted within a partition and go on from those of the partitions before it.
     """
-    from pyspark.sql import Window as W
-
-    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
-    ranked = per.select("*", (F.pmod(F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(3)) + 1).alias("weight"))
+    name = F.col("source").asc_nulls_last()
+    per = spread(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n")), name)
+    rank = F.row_number().over(W.partitionBy("part").orderBy(name)) - 1
+    ranked = per.join(F.broadcast(earlier(per, before=F.lit(1))), "part").withColumn("weight", F.pmod(rank + F.col("before"), F.lit(3)) + 1)
     cap = F.col("source_size") * F.lit(most)
-    order = W.orderBy("ratio", F.col("source").asc_nulls_last())
-    filled = ranked.withColumns({"cap": cap, "ratio": cap / F.col("weight")})
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    filled = filled.withColumns({
-        "at": F.row_number().over(order),
-        "level": (F.sum("source_size").over(W.partitionBy()) - before) / F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)),
-    })
+    filled = ranked.select("source", "source_size", "n", "weight", cap.alias("cap"), (cap / F.col("weight")).alias("ratio"))
+    filled = spread(filled, F.col("ratio"), name)
+    size, weight = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    so_far = W.partitionBy("part").orderBy(F.col("ratio"), name).rowsBetween(W.unboundedPreceding, -1)
+    run = lambda c, before: F.coalesce(F.sum(c).over(so_far), F.lit(0)) + F.col(before)
+    filled = filled.join(F.broadcast(earlier(filled, caps=F.col("cap"), weights=F.col("weight"))), "part")
+    filled = filled.withColumn("level", (F.lit(size) - run("cap", "caps")) / (F.lit(weight) - run("weight", "weights")))
     free = F.col("ratio") > F.col("level")
-    final = F.min_by(F.when(free, F.col("level")), F.when(free, F.col("at"))).over(W.partitionBy())
-    return filled.select("source", "source_size", "n", F.when(free, F.least(F.col("weight") * final, "cap")).otherwise(F.col("cap")).alias("target"))
+    final = filled.filter(free).agg(F.min_by("level", F.struct("ratio", F.col("source").isNull(), "source"))).first()[0]
+    shared = F.least(F.col("weight") * F.lit(final).cast("double"), F.col("cap"))
+    return filled.select("source", "source_size", "n", F.when(free, shared).otherwise(F.col("cap")).alias("target"))
 
 
 def _let(value: Column, body) -> Column:

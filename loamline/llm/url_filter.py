@@ -6,7 +6,9 @@ subdomains. Rules open and close intervals; openings, closings and keys are sort
 intervals nest, so the sweep needs a stack only: the number of open intervals is the stack's height, and its top is the
 last rule that opened at that height. Both are window functions over the sorted rows.
 
-Keys are swept in lanes, dealt by hash, so that no host meets in one task; every lane sweeps all rules.
+Keys, openings and closings are range-partitioned together, so that a partition sweeps the rules that lie in it and, opened anew
+at its start, those that reach into it from before: at any place no more than nest there. Keys alike go on by a hash of
+the URL, so that a key which many hosts share (a parent domain with a common path) is split as well.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import spread
 
 #: (host, path, verdict) of the registered query.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -47,27 +49,26 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     rules = rules.filter("host is not null and path is not null").groupBy(F.translate("host", _UPPER, _LOWER).alias("host"), "path").agg(F.max("verdict").alias("verdict"))
     levels = rules.select(F.size(F.split("host", r"\.")).alias("n")).distinct()
     depths = sorted(r.n for r in levels.collect())  # one number for each depth that rules have, of however many labels
-    lanes = partitions(pages.sparkSession)
-
     labels = F.split("host", r"\.")
     distinct = asked.groupBy("host", "path").agg(F.count("*").alias("n"))
     # one key for each parent domain of a depth that rules have
     n = F.size(labels)
     parents = F.transform(F.filter(F.array(*[F.lit(d) for d in depths]) if depths else F.array().cast("array<int>"), lambda d: d <= n), lambda d: F.slice(labels, n - d + 1, d))
     keys = distinct.select("host", "path", F.explode(parents).alias("of"))
-    lane = F.pmod(F.xxhash64("host", "path"), F.lit(lanes)).cast("int")
-    found = keys.select(lane.alias("lane"), _key(F.col("of"), F.col("path")).alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("step"), "host", "path", F.lit(None).cast("struct<rule:string,verdict:string>").alias("opened"))
+    none, no_rule = F.lit(None).cast("string"), F.lit(None).cast("struct<rule:string,verdict:string>")
+    found = keys.select(_key(F.col("of"), F.col("path")).alias("at"), F.lit(1).alias("turn"), F.xxhash64("host", "path").alias("salt"), F.lit(0).alias("step"), "host", "path", F.lit(None).cast("binary").alias("key"), no_rule.alias("opened"))
 
     rule = F.struct(F.concat("host", "path").alias("rule"), "verdict")
-    edges = rules.select(_key(labels, F.col("path")).alias("key"), rule.alias("opened"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    none = F.lit(None).cast("string")
-    opening = edges.select("lane", F.col("key").alias("at"), F.lit(0).alias("turn"), F.lit(1).alias("step"), none.alias("host"), none.alias("path"), "opened")
-    # 0xFF is no byte of UTF-8, so this lies behind every key with the prefix
-    closing = edges.select("lane", F.concat("key", F.unhex(F.lit("FF"))).alias("at"), F.lit(0).alias("turn"), F.lit(-1).alias("step"), none.alias("host"), none.alias("path"), F.lit(None).cast("struct<rule:string,verdict:string>").alias("opened"))
-    # a longer key's closing sorts before its parent's: 0xFF is larger than any byte that follows the parent's prefix
-    rows = found.union(opening).union(closing)
-    height = rows.withColumn("height", F.sum("step").over(W.partitionBy("lane").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)))
-    stack = W.partitionBy("lane", "height").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
+    edges = rules.select(_key(labels, F.col("path")).alias("key"), rule.alias("opened"))
+    edge = lambda at, step, opened: edges.select(at.alias("at"), F.lit(0).alias("turn"), F.lit(0).cast("long").alias("salt"), F.lit(step).alias("step"), none.alias("host"), none.alias("path"), "key", opened.alias("opened"))
+    # 0xFF is no byte of UTF-8, so a closing lies behind every key with the prefix; a longer key's closing sorts before its
+    # parent's, as 0xFF is larger than any byte that follows the parent's prefix
+    rows = spread(found.union(edge(F.col("key"), 1, F.col("opened"))).union(edge(F.concat("key", F.unhex(F.lit("FF"))), -1, no_rule)), "at", "turn", "salt")
+    reach = rows.filter("turn = 0").groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.max("opened").alias("opened")).filter("first < last")
+    again = reach.select("key", "opened", F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("part"))
+    again = again.select(F.col("key").alias("at"), F.lit(0).alias("turn"), F.lit(0).cast("long").alias("salt"), F.lit(1).alias("step"), none.alias("host"), none.alias("path"), "key", "opened", "part")
+    height = rows.union(again).withColumn("height", F.sum("step").over(W.partitionBy("part").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)))
+    stack = W.partitionBy("part", "height").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
     swept = height.withColumn("top", F.last("opened", ignorenulls=True).over(stack)).filter("turn = 1 and height > 0")
     best = swept.groupBy("host", "path").agg(F.max_by("top", F.struct(F.length("top.rule"), "top.rule")).alias("top"))
     judged = asked.join(best, ["host", "path"], "left")
@@ -75,4 +76,6 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
 
 def rule_table(spark, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """A few rules given as literals."""
+    text = lambda v, name: F.lit(v).cast("string").alias(name)
+    return spark.range(1).select(F.inline(F.array(*[F.struct(text(h, "host"), text(p, "path"), text(v, "verdict")) for h, p, v in rules])))

@@ -455,7 +455,16 @@ def test_bounds_hold():
 # ---------------------------------------------------------------- 7
 
 
-def test_url_filter(spark):
+@pytest.fixture(params=["true", "false"], ids=["coalesced", "as many partitions as set"])
+def coalesced(spark, request):
+    """Small tables would else lie in one partition, and nothing would go on from one to the next."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, request.param)
+    yield request.param
+    spark.conf.unset(key)
+
+
+def test_url_filter(spark, coalesced):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/es/x", "allow"), ("a.example.org", "", "block"), ("com", "/fr/", "allow"), ("com", "/fr/", "block"), ("x.com", "/", "allow"), ("a." * 200 + "org", "/", "block"), (None, "/", "block"), ("net", None, "block")]
     hosts = ["example.org", "a.example.org", "b.a.example.org", "aexample.org", "org", "x.com", "y.x.com", "com", "net", "x.com:80", "é.org", "", "a..org"]
     paths = ["", "/", "/es/", "/es/x/y", "/fr/", "/fr", "/\x02", "/é/"]
@@ -473,7 +482,19 @@ def test_url_filter(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, lane int, at string")
     got = url_filter.judge(df, url_filter.rule_table(spark, rules)).collect()
     assert Counter(tuple(r) for r in got) == Counter((i, *judge(u)) for i, u, _, _ in rows)
-    assert url_filter.judge(df, url_filter.rule_table(spark, rules[:0] or [("z", "/", "allow")])).filter("rule is not null").count() == 0
+    assert url_filter.judge(df, url_filter.rule_table(spark, [("z", "/", "allow")])).filter("rule is not null").count() == 0
+    assert url_filter.judge(df, url_filter.rule_table(spark).limit(0)).filter("rule is not null").count() == 0
+
+
+def test_rules_reach_over_partitions(spark, coalesced):
+    """Nested rules whose intervals span several partitions, and one key that many hosts share."""
+    rules = [("org", "", "block"), ("org", "/", "allow"), ("org", "/a", "block"), ("org", "/a/b", "allow"), ("c.org", "/a", "block"), ("h5.org", "/a/b", "block")]
+    urls = [(i, f"http://h{i % 40}.{'c.' * (i % 3)}org{p}") for i, p in enumerate(["", "/", "/a", "/a/b/c", "/b", "/x"] * 60)]
+    got = {r.page_id: r.rule for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), url_filter.rule_table(spark, rules)).collect()}
+    for i, u in urls:
+        host, slash, path = u[7:].partition("/")
+        fits = [h + p for h, p, _ in rules if ("." + host).endswith("." + h) and (slash + path).startswith(p)]
+        assert got[i] == max(fits, key=len), u
 
 
 # ---------------------------------------------------------------- 1
