@@ -85,8 +85,8 @@ def best_fit(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, group: int = 2
     """doc_id, nth, piece, start, length, bin_id, bin_length, bin_offset: a row for each piece of each row of docs.
 
     A text of more words than the longest length, however long, is cut into pieces of that length and a rest. Pieces of equal
-    length go in order of doc_id, nth and piece, and of bins with equal room the last one opened is taken. Rows alike in doc_id and
-    size are told apart by nth. Null and blank texts are one row of length 0 in no bin (bin_id null). Pieces
+    length go in order of doc_id (null last), nth and piece, and of bins with equal room the one filled last is taken. Rows alike
+    in doc_id and size are told apart by nth. Null and blank texts are one row of length 0 in no bin (bin_id null). Pieces
     are dealt at random into groups of about `group` that are packed on their own, so that no task holds more, and
     loss is at most a few bins in each group. The same rows always give the same bins.
     """
@@ -100,13 +100,13 @@ def best_fit(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, group: int = 2
     groups = max(1, math.ceil(pieces.count() / group))
 
     def packed(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["length", "doc_id", "nth", "piece"], ascending=[False, True, True, True], kind="stable")
+        x = x.assign(none=x["doc_id"].isna()).sort_values(["length", "none", "order", "nth", "piece"], ascending=[False, True, True, True, True], kind="stable")
         of, offset, final = pack(x["length"].to_numpy(), lengths)
         return x.assign(bin_id=x["at"].astype(np.int64) * (1 << 32) + of, bin_length=final[of], bin_offset=offset)[["doc_id", "nth", "piece", "start", "length", "bin_id", "bin_length", "bin_offset"]]
 
     schema = "doc_id string, nth int, piece int, start long, length long, bin_id long, bin_length long, bin_offset long"
     at = F.pmod(F.xxhash64("doc_id", "nth", "piece"), F.lit(groups)).alias("at")
-    full = pieces.filter("length > 0").withColumn("doc_id", F.col("doc_id").cast("string")).select("*", at).groupBy("at").applyInPandas(packed, schema)
+    full = pieces.filter("length > 0").select("*", at, F.coalesce("doc_id", F.lit(0)).alias("order")).withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("at").applyInPandas(packed, schema)
     none = F.lit(None).cast("long")
     blank = pieces.filter("length = 0").select("doc_id", "nth", "piece", "start", "length", none.alias("bin_id"), none.alias("bin_length"), none.alias("bin_offset"))
     return full.withColumn("doc_id", F.col("doc_id").cast("long")).union(blank)
