@@ -59,6 +59,7 @@ def tables(files: DataFrame, repos: DataFrame) -> dict[str, DataFrame]:
         "repo_tech": tech, "repo_languages": languages, "dependencies": deps, "packages": packages, "practice_checks": checks, "ai_assets": assets,
         "flags": findings.findings(files), "reusables": findings.building_blocks(files), "cross_references": findings.cross_references(files),
         "repo_links": edges.withColumnRenamed("dst", "depends_on").withColumnRenamed("src", "repo_id"), "runtime_versions": documents.runtimes(files), "sdk_usage": code_assets.sdk_usage(files),
+        "code_owners": documents.code_owners(files).select("repo_id", F.explode("owners").alias("owner")), "model_usage": code_assets.model_ids(files),
         "dependency_usage": usage.dependency_usage(deps), "dependency_versions": usage.dependency_versions(deps),
     }
 

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import guarded, search, usage
+from .operators import filter_keys, guarded, search, usage
 
-TABLES = ("repos", "repo_tech", "repo_languages", "dependencies", "packages", "practice_checks", "ai_assets", "flags", "reusables", "cross_references", "repo_links", "runtime_versions", "sdk_usage", "dependency_usage", "dependency_versions")
+TABLES = ("repos", "repo_tech", "repo_languages", "dependencies", "packages", "practice_checks", "ai_assets", "flags", "reusables", "cross_references", "repo_links", "runtime_versions", "sdk_usage", "dependency_usage", "dependency_versions", "code_owners", "model_usage")
+
+
+def _with_columns(df: DataFrame, **kinds: str) -> DataFrame:
+    """The table with a null column for each one that it lacks."""
+    return df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in df.columns})
 
 
 class Inventory:
@@ -44,6 +49,20 @@ class Inventory:
             rows = rows.filter(F.col(column) == value) if value else rows
         return search.search(rows, query, search.ASSET_WEIGHTS, ["name", "description", "content"], [F.desc("quality_score"), F.col("name")], limit)
 
+    def filter_repos(self, query: str) -> DataFrame:
+        """Repositories that a `key:value` query lets through; keys of columns and tables that were not landed find nothing."""
+        rows = _with_columns(self.table("repos"), declared_owner="string", lifecycle="string", fork="boolean", is_monorepo="boolean", visibility="string", topics="array<string>", capabilities="array<string>")
+        tables = {t: self.table(t) for t in ("repo_tech", "repo_languages", "dependencies", "practice_checks", "ai_assets", "flags", "reusables", "repo_links", "sdk_usage", "code_owners", "model_usage")}
+        tables["repo_topics"] = rows.select("repo_id", F.explode("topics").alias("topic"))
+        tables["repo_capabilities"] = rows.select("repo_id", F.explode("capabilities").alias("name"))
+        tables["vulnerable_dependencies"] = self.table("flags").filter("flag_id = 'vulnerable-dependency'")
+        return filter_keys.restrict(rows, query, filter_keys.REPO_KEYS, tables, "repo_id", ("name", "description", "readme"))
+
+    def filter_building_blocks(self, query: str) -> DataFrame:
+        repos = _with_columns(self.table("repos"), lifecycle="string").select("repo_id", F.col("id").alias("repo"), "primary_language", "practices_grade", "lifecycle")
+        rows = _with_columns(self.table("reusables"), format="string", engine="string", using="string")
+        return filter_keys.restrict(rows.join(repos, "repo_id"), query, filter_keys.BLOCK_KEYS, {}, "name", ("name", "repo", "path"))
+
     def find_building_blocks(self, query: str = "", *, kind: str | None = None, limit: int = 20) -> DataFrame:
         repos = self.table("repos").select("repo_id", F.col("id").alias("repo"), "description", "archived", "practices_score")
         rows = self.table("reusables").join(repos, "repo_id")

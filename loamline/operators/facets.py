@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -42,18 +43,31 @@ def read(query: str, known: set[str]) -> Request:
     return out
 
 
-def matches(column: Column, value: str, exact: bool = False) -> Column:
-    """Does a list column hold the value? Lower case; =v is the whole value, v* a prefix, else a substring (exact keys: the whole)."""
+def value_test(value: str, exact: bool = False) -> Callable[[Column], Column]:
+    """The test of one value without regard to case: =v is the whole value, v* a prefix, else a substring (exact keys: the whole)."""
+    value = value.lower()
+    if value.startswith("="):
+        return lambda x: F.lower(x) == value[1:]
+    if value.endswith("*") and len(value) > 1:
+        return lambda x: F.startswith(F.lower(x), F.lit(value[:-1]))
+    if exact:
+        return lambda x: F.lower(x) == value
+    return lambda x: F.contains(F.lower(x), F.lit(value))
+
+
+def spelt_like(word: str, value: str, exact: bool = False) -> bool:
+    """The same test on a word that is known already."""
     value = value.lower()
     if value.startswith("="):
-        test = lambda x: F.lower(x) == value[1:]
-    elif value.endswith("*") and len(value) > 1:
-        test = lambda x: F.startswith(F.lower(x), F.lit(value[:-1]))
-    elif exact:
-        test = lambda x: F.lower(x) == value
-    else:
-        test = lambda x: F.contains(F.lower(x), F.lit(value))
-    return F.coalesce(F.exists(column, test), F.lit(False))
+        return word == value[1:]
+    if value.endswith("*") and len(value) > 1:
+        return word.startswith(value[:-1])
+    return word == value if exact else value in word
+
+
+def matches(column: Column, value: str, exact: bool = False) -> Column:
+    """Does a list column hold the value?"""
+    return F.coalesce(F.exists(column, value_test(value, exact)), F.lit(False))
 
 
 def at_least(column: Column, value: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import tables, values
+from .plans import keys, tables, values
 
-QUERIES: dict = {**tables.QUERIES, **values.QUERIES}
-ORACLES: dict = {**tables.ORACLES, **values.ORACLES}
+QUERIES: dict = {**tables.QUERIES, **values.QUERIES, **keys.QUERIES}
+ORACLES: dict = {**tables.ORACLES, **values.ORACLES, **keys.ORACLES}

@@ -60,6 +60,22 @@ def test_names_and_links(inventory):
     assert c.sql("select count(*) as n from repos") == [{"n": 3}]
 
 
+@pytest.mark.parametrize(
+    ("query", "ids"),
+    [
+        ("lang:typescript", {"acme/web"}), ("dep:left", {"acme/lib"}), ("dep:deep", set()), ("-dep:left owner:acme", {"acme/web"}), ("tech:rea fw:react", {"acme/web"}), ("ai:yes", {"acme/web"}), ("ai:n*", {"acme/lib", "other/web"}),
+        ("usedby:yes", {"acme/lib"}), ("reuse:action", {"acme/lib"}), ("flag:docker-unpinned-base", {"acme/web"}), ("topic:any", set()), ("-topic:any boxes", {"acme/lib"}), ("vuln:no", {"acme/lib", "acme/web", "other/web"}), ("nosuch:key", set()),
+    ],
+)
+def test_keys(inventory, query, ids):
+    assert {r.id for r in inventory.filter_repos(query).collect()} == ids
+
+
+def test_keys_of_blocks(inventory):
+    assert inventory.filter_building_blocks("kind:action repo:lib").count() == 1
+    assert inventory.filter_building_blocks("-kind:action").count() == 0
+
+
 def test_command_line(inventory, capsys):
     assert main(["--tables", inventory.path, "sql", "select id from repos order by id limit 1"]) == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"id": "acme/lib"}
