@@ -39,6 +39,13 @@ def routes(deps: DataFrame, packages: DataFrame, repos: DataFrame, top: int = 5)
     return merged.withColumn("place", place).filter(F.col("place") <= top).drop("place")
 
 
+def by_reference(references: DataFrame, repos: DataFrame) -> DataFrame:
+    """src, dst, via, scope_rank of references (repo_id, kind, target as owner/repo in any case) to known repositories; none to itself."""
+    asked = references.select(F.col("repo_id").alias("src"), "kind", F.lower("target").alias("target")).distinct()
+    known = repos.select(F.col("repo_id").alias("dst"), F.lower("id").alias("target"))
+    return asked.join(known, "target").filter("src <> dst").select("src", "dst", F.concat_ws(" ", "kind", "target").alias("via"), F.lit(0).alias("scope_rank"))
+
+
 def most_relevant(links: DataFrame, repos: DataFrame, side: str, other: str, cap: int = 200) -> DataFrame:
     """At most `cap` links of each `side`: strongest scope, live repositories, name, route; with the true total."""
     standing = repos.select(F.col("repo_id").alias(other), F.col("archived").alias("other_archived"), F.lower("id").alias("other_id"))

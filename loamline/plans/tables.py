@@ -189,6 +189,15 @@ def used_by_totals(spark, d):
     return links.used_by_totals(_links(spark, d))
 
 
+@query(with_(fx.REPOS, """refs AS (SELECT o.o_custkey % 100 AS src, o.o_orderpriority AS kind, CASE WHEN o.o_orderstatus = 'P' THEN 'no/such' ELSE lower(r.id) END AS target
+  FROM orders o JOIN repos r ON r.repo_id = o.o_orderkey % 100)""") + """SELECT DISTINCT src, repo_id AS dst, kind || ' ' || target AS via, 0 AS scope_rank FROM refs JOIN repos ON lower(id) = target WHERE src <> repo_id""")
+def link_references(spark, d):
+    r, o = fx.repos(spark, d), fx.table(spark, d, "orders")
+    target = F.when(F.col("o_orderstatus") == "P", "no/such").otherwise(F.upper("id"))
+    refs = o.join(r.select(F.col("repo_id").alias("named"), "id"), F.col("o_orderkey") % 100 == F.col("named")).select((F.col("o_custkey") % 100).alias("repo_id"), F.col("o_orderpriority").alias("kind"), target.alias("target"))
+    return links.by_reference(refs, r)
+
+
 @query(_LINKED + """SELECT 'depends_on' AS direction, dst AS other, via, scope_rank FROM links WHERE src = 7 UNION ALL SELECT 'used_by', src, via, scope_rank FROM links WHERE dst = 7""")
 def repo_relationships(spark, d):
     return links.relationships(_links(spark, d), 7)
