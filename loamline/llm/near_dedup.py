@@ -8,13 +8,18 @@ a probability of exactly their weighted Jaccard similarity. Points come in ascen
 is later than the latest register.
 
 Signatures are cut into bands. Buckets with the same members count once. Documents of a bucket are compared with the
-bucket's smallest document, its leader; then, in buckets whose other members this left in several classes, everything outside
-the largest class is compared with everything else, in blocks, so that no link between two classes is lost and no pair
-list is written. All comparisons are exact. Of the texts only those in shared buckets move beyond the one join that finds them.
+bucket's smallest document, its leader. Where that leaves a bucket's other members in several classes, links between these
+may be missing. A large such bucket falls apart first: a text that reaches the similarity with another one shares a feature
+with it among a fifth of its own, whichever fifth an order common to both selects, and the order here takes features that the
+leader lacks first. So texts that have only boilerplate in common meet no more. In what is left, everything outside the largest
+class is compared with everything else, in blocks, so that no link between two classes is lost and no pair list is
+written. All comparisons are exact. Of the texts only those in shared buckets move beyond the one join that finds them.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -195,27 +200,90 @@ def _distinct_sets(members: DataFrame) -> DataFrame:
     return join_split(members, kept, ["bucket"], "left_semi")
 
 
-def _star(texts: DataFrame, shared: DataFrame, k: int, least: float, shard: int = 512) -> DataFrame:
-    """(a, b): the members of buckets that are similar to their bucket's leader b. A leader with many members has its text
-    dealt to several shards; a text moves once for each leader, whatever the number of buckets."""
-    pairs = shared.filter("doc_id <> leader").select("doc_id", "leader").distinct()
+def _beside_leader(texts: DataFrame, pairs: DataFrame, shard: int = 512) -> DataFrame:
+    """leader, shard, doc_id, text of pairs (doc_id, leader), sorted, each leader's own texts first. A leader with many members has its
+    text dealt to several shards; a text moves once for each leader, whatever the number of buckets."""
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     members = join_split(pairs, sizes, ["leader"]).select("doc_id", "leader", F.pmod(F.xxhash64("doc_id"), "shards").cast("int").alias("shard"))
     leaders = sizes.select(F.col("leader").alias("doc_id"), "leader", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     rows = texts.join(members.union(leaders), "doc_id").select("leader", "shard", "doc_id", "text")
-    rows = rows.repartition("leader", "shard").sortWithinPartitions("leader", "shard", F.col("doc_id") != F.col("leader"))
+    return rows.repartition("leader", "shard").sortWithinPartitions("leader", "shard", F.col("doc_id") != F.col("leader"))
+
+
+def _star(texts: DataFrame, shared: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b): the members of buckets that are similar to their bucket's leader b."""
+    rows = _beside_leader(texts, shared.filter("doc_id <> leader").select("doc_id", "leader").distinct())
     return stash(rows.mapInPandas(_verify(k, least), "a long, b long"))
 
 
-def _stray_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: DataFrame, k: int, least: float, block: int, most: int = 128) -> DataFrame:
+def _prefix(k: int, least: float):
+    """(leader, doc_id, feature, short) for each member of a leader's buckets: the features of which two texts of similarity
+    `least` share one.
+
+    Let x and y be such texts, x no shorter than y, in any order of features that is the same for both. They share least * |x|
+    features and 2 * least / (1 + least) * |y|, so one of the first |x| - ceil(least * |x|) + 1 of x is among the first
+    |y| - ceil(2 * least / (1 + least) * |y|) + 1 of y; the latter are marked `short`. Features that the leader lacks come first.
+    Rows come as in `_verify`; a leader's own text yields nothing, since it has been compared with all.
+    """
+
+    def run(batches):
+        last, common = None, np.empty(0, _U)
+        for x in batches:
+            out = [(np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)]
+            for leader, shard, doc, text in zip(x.leader, x.shard, x.doc_id, x.text):
+                if (leader, shard) != last:
+                    last, common = (leader, shard), np.empty(0, _U)
+                f = _features(text, k)
+                if doc == leader:
+                    common = np.union1d(common, f)
+                elif n := len(f):
+                    order = np.lexsort((f, np.isin(f, common)))
+                    long, short = (n - math.ceil(share * n - 1e-9) + 1 for share in (least, 2 * least / (1 + least)))
+                    out.append((np.full(long, leader), np.full(long, doc), f[order[:long]].view(np.int64), np.arange(long) < short))
+            yield pd.DataFrame({name: np.concatenate(c) for name, c in zip(("leader", "doc_id", "feature", "short"), zip(*out))})
+
+    return run
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """bucket, main, n, strays of every bucket (bucket, doc_id, label) that holds several classes: main is the largest one, strays counts
+    the documents outside of it."""
+    classes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    sums = classes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("strays"))
+    return sums.filter("strays > 0")
+
+
+def _fallen_apart(texts: DataFrame, tagged: DataFrame, mixed: DataFrame, k: int, least: float, large: int) -> DataFrame:
+    """bucket, doc_id, label, main: the members of mixed buckets, where large buckets are replaced by groups of documents that share a
+    feature of `_prefix`. Both hold every pair that may be linked; a leader's buckets stay whole where groups would need more
+    comparisons."""
+    members = stash(join_split(tagged, mixed, ["bucket"]))
+    whole = members.groupBy("bucket", "leader").agg(F.first("n").alias("n"), F.first("strays").alias("strays"))
+    whole = whole.groupBy("leader").agg(F.sum(F.col("n") * F.col("strays")).alias("pairs"), F.max("n").alias("n")).filter(F.col("n") > large)
+    big = stash(join_split(members, whole.select("leader", "pairs"), ["leader"]).select("leader", "pairs", "doc_id", "label").distinct())
+    if big.isEmpty():
+        return members.select("bucket", "doc_id", "label", "main")
+    features = _beside_leader(texts, big.select("doc_id", "leader")).mapInPandas(_prefix(k, least), "leader long, doc_id long, feature long, short boolean")
+    features = stash(features.withColumn("group", F.xxhash64("leader", "feature")))
+    shared = features.groupBy("group").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("short").alias("short")).filter("lo < hi and short").select("group")
+    groups = join_split(features, shared, ["group"], "left_semi").select("leader", F.col("group").alias("bucket"), "doc_id").distinct()
+    groups = stash(groups.join(big, ["leader", "doc_id"]))
+    split = join_split(groups, _mixed(groups), ["bucket"])
+    needed = split.groupBy("bucket", "leader").agg(F.first("n").alias("n"), F.first("strays").alias("strays"), F.first("pairs").alias("pairs"))
+    needed = needed.groupBy("leader").agg(F.sum(F.col("n") * F.col("strays")).alias("needed"), F.first("pairs").alias("pairs"))
+    kept_whole = stash(needed.filter("needed >= pairs").select("leader"))
+    fallen = big.select("leader").distinct().join(kept_whole, "leader", "left_anti")
+    stay = join_split(members, stash(fallen), ["leader"], "left_anti").select("bucket", "doc_id", "label", "main")
+    return stay.union(join_split(split, kept_whole, ["leader"], "left_anti").select("bucket", "doc_id", "label", "main"))
+
+
+def _stray_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: DataFrame, k: int, least: float, block: int, most: int) -> DataFrame:
     """(a, b): links between classes that the comparison with leaders left apart in one bucket. Leaders have been compared with
-    all, so others remain: what is outside the bucket's largest class is compared with all of the bucket, in cells
-    of two blocks of about `block` bytes and `most` texts."""
+    all, so others remain: what is outside the largest class of a bucket, or of a group that it fell into, is compared with all
+    of it, in cells of two blocks of about `block` bytes and `most` texts."""
     tagged = shared.filter("doc_id <> leader").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    tagged = stash(tagged.select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")))
-    classes = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = classes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
-    members = _distinct_sets(join_split(tagged, mixed, ["bucket"])).join(sizes, "doc_id")
+    tagged = stash(tagged.select("bucket", "leader", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    members = _distinct_sets(stash(_fallen_apart(texts, tagged, _mixed(tagged), k, least, 2 * most))).join(sizes, "doc_id")
     members = stash(members)
     stray = F.col("label") != F.col("main")
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(size), F.lit(0)) / block), F.ceil(F.count(size) / most)).cast("int")
@@ -229,15 +297,16 @@ def _stray_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes:
     return stash(cells.groupBy("bucket", "i", "j").applyInPandas(_cell(k, least), "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 32, rows: int = 6, block: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 32, rows: int = 6, block: int = 4_000_000, most: int = 128) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the class) for each row of docs.
 
     Two documents are linked if the weighted Jaccard similarity of their k-word shingle multisets is `least` or more;
     classes are what links connect. Texts under k words are one shingle; null and blank texts have none and are a class of
     their own, as are rows whose doc_id is null (class_id null). Rows that repeat a doc_id are one document, linked by any of
     its texts. Two texts of similarity 0.8 share no band with a probability of (1 - 0.8**6)**32 = 6e-5. Copies
-    are compared once. Texts of any length are hashed whole; `block` bounds the bytes of text that one comparison of two
-    blocks holds, but for a single longer text.
+    are compared once. Texts of any length are hashed whole; `block` bounds the bytes of text, and `most` the texts, that one
+    comparison of two blocks holds, but for a single longer text; buckets of over twice `most` may fall apart first. Neither
+    changes the classes. Extra columns are not read.
     """
     small_batches(docs.sparkSession)
     base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -252,7 +321,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int
     texts = stash(base.join(shared.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"))
     star = _star(texts, shared, k, least)
     labels = connected(star)
-    rest = _stray_links(texts, shared, labels, known.select("doc_id", "size"), k, least, block)
+    rest = _stray_links(texts, shared, labels, known.select("doc_id", "size"), k, least, block, most)
     if not rest.isEmpty():
         labels = connected(star.union(rest))
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,55 @@ def test_cells_find_what_leaders_miss(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def boilerplate(n, seed, shared=300, own=90):
+    """n texts that hold the same long passage, and near copies of every eighth of them."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    passage, rows = [word() for _ in range(shared)], []
+    for i in range(n):
+        rows.append([*passage, *(word() for _ in range(own))])
+        if i % 8 == 0:
+            rows.append([word() if p in (40, 350, 380) else w for p, w in enumerate(rows[-1])])
+    r.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("most", [4, 1000])
+def test_strays_among_boilerplate(spark, most):
+    """Texts in the same buckets, of which few are alike: large buckets fall apart before texts are compared, and no link is
+    lost. Without labels from leaders all texts are strays."""
+    table = boilerplate(120, 3)
+    bags = {i: Counter(zip(*(t.split()[j:] for j in range(5)))) for i, t in table}
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    base = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    shared = near_dedup._candidates(base, 5, 32, 6, docs.filter("false"))
+    no_labels = spark.createDataFrame([], "node long, label long")
+    sizes = docs.select("doc_id", F.length("text").alias("size"))
+    links = {(r.a, r.b) for r in near_dedup._stray_links(base, shared, no_labels, sizes, 5, 0.8, 4_000_000, most).collect()}
+    buckets = {}
+    for r in shared.filter("doc_id <> leader").collect():
+        buckets.setdefault(r.bucket, []).append(r.doc_id)
+    met = {(a, b) for ids in buckets.values() for a in ids for b in ids if a < b}
+    alike = {(a, b) for a, b in met if sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values())}
+    assert {(min(x), max(x)) for x in links} == alike and 10 <= len(alike) < len(met) / 20
+
+
+def test_prefixes_hold_a_common_feature():
+    """Of two texts as alike as asked, the shorter one's short prefix meets the longer one's prefix, whatever the leader."""
+    for seed in range(60):
+        r = random.Random(seed)
+        y = [r.choice(VOCABULARY) for _ in range(r.randint(20, 90))]
+        x = [w if r.random() > 0.02 else r.choice(VOCABULARY) for w in y] + [r.choice(VOCABULARY) for _ in range(r.randint(0, 8))]
+        lead = [w if r.random() > 0.2 else "lead" for w in y]
+        texts = [" ".join(w).encode() for w in (lead, x, y)]
+        if near_dedup.similarity(*(near_dedup.shingles(t) for t in texts[1:])) < 0.8:
+            continue
+        rows = pd.DataFrame({"leader": 0, "shard": 0, "doc_id": [0, 1, 2], "text": texts})
+        got = next(near_dedup._prefix(5, 0.8)([rows]))
+        sides = {d: g for d, g in got.groupby("doc_id")}
+        assert set(sides[1].feature) & set(sides[2].feature[sides[2].short])
+
+
 # ---------------------------------------------------------------- 5
 
 
