@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import hard_negatives, importance, toxicity
 from .common import table
 from .licenses import scan
 from .mixing import mix
@@ -57,6 +59,21 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved))
+
+
+def op13_importance_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
+    return importance.resample(table(spark, sf_dir, "documents"), target)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_bestfit_packing": op2_bestfit_packing,
@@ -68,6 +85,9 @@ QUERIES = {
     "op8_exact_top": op8_exact_top,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_toxicity": op11_toxicity,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_importance_sampling": op13_importance_sampling,
 }
 ORACLES: dict[str, str] = {}
 
@@ -100,3 +120,22 @@ WITH parts AS (
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
 """
+
+ORACLES["op12_hard_negatives"] = """
+WITH good AS (
+  SELECT vec_id, min({'x': embedding, 'label': CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END}) AS r FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+), ints AS (
+  SELECT vec_id, r.label AS label, len(r.x) AS d, generate_subscripts(r.x, 1) AS pos, floor(256 * unnest(r.x)::DOUBLE)::BIGINT AS x FROM good
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS al, v.vec_id, v.label AS vl, sum(a.x * v.x)::BIGINT AS score
+  FROM ints a JOIN ints v ON a.pos = v.pos AND a.d = v.d AND a.vec_id <> v.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE al = vl
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.al <> s.vl AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
