@@ -79,7 +79,7 @@ def grams(words: np.ndarray, owner: np.ndarray, joiner: _Joiner) -> tuple[np.nda
     return np.concatenate(owners), np.concatenate(found)
 
 
-def _blocks(remember: int = 1_000_000, chunk: int = 150_000):
+def _blocks(remember: int = 200_000, chunk: int = 20_000):
     """CSR blocks of about `chunk` words, but for single longer texts."""
 
     def block(ids: list, texts: list[list[int]], joiner: _Joiner) -> pd.DataFrame:
@@ -117,18 +117,10 @@ def csr(texts: DataFrame) -> DataFrame:
 
 
 def column_sums(blocks: DataFrame) -> np.ndarray:
-    """The sum of each bucket's counts over all documents: summed in tasks first, so that one row per bucket and task moves."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for bucket, count in zip(b.bucket, b["count"]):
-                total += np.bincount(bucket, count, BUCKETS).astype(np.int64)
-        yield pd.DataFrame({"bucket": np.arange(BUCKETS), "n": total})
-
+    """The sum of each bucket's counts over all documents; tasks sum before anything moves."""
+    cells = blocks.select(F.explode(F.arrays_zip("bucket", "count")).alias("c"))
     sums = np.zeros(BUCKETS, np.int64)
-    rows = blocks.select("bucket", "count").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    for r in rows.collect():  # a row per bucket, whatever the input
+    for r in cells.groupBy("c.bucket").agg(F.sum("c.count").alias("n")).collect():  # a row per bucket, whatever the input
         sums[r.bucket] = r.n
     return sums
 
