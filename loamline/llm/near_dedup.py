@@ -201,23 +201,23 @@ def _distinct_sets(members: DataFrame) -> DataFrame:
 
 
 def _beside_leader(texts: DataFrame, pairs: DataFrame, shard: int = 512) -> DataFrame:
-    """leader, shard, doc_id, text of pairs (doc_id, leader), sorted, each leader's own texts first. A leader with many members has its
-    text dealt to several shards; a text moves once for each leader, whatever the number of buckets."""
+    """leader, shard, doc_id, label, text of pairs (doc_id, leader, label), sorted, each leader's own texts first. A leader with many
+    members has its text dealt to several shards; a text moves once for each leader, whatever the number of buckets."""
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    members = join_split(pairs, sizes, ["leader"]).select("doc_id", "leader", F.pmod(F.xxhash64("doc_id"), "shards").cast("int").alias("shard"))
-    leaders = sizes.select(F.col("leader").alias("doc_id"), "leader", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    rows = texts.join(members.union(leaders), "doc_id").select("leader", "shard", "doc_id", "text")
+    members = join_split(pairs, sizes, ["leader"]).select("doc_id", "leader", "label", F.pmod(F.xxhash64("doc_id"), "shards").cast("int").alias("shard"))
+    leaders = sizes.select(F.col("leader").alias("doc_id"), "leader", F.col("leader").alias("label"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    rows = texts.join(members.union(leaders), "doc_id").select("leader", "shard", "doc_id", "label", "text")
     return rows.repartition("leader", "shard").sortWithinPartitions("leader", "shard", F.col("doc_id") != F.col("leader"))
 
 
 def _star(texts: DataFrame, shared: DataFrame, k: int, least: float) -> DataFrame:
     """(a, b): the members of buckets that are similar to their bucket's leader b."""
-    rows = _beside_leader(texts, shared.filter("doc_id <> leader").select("doc_id", "leader").distinct())
+    rows = _beside_leader(texts, shared.filter("doc_id <> leader").select("doc_id", "leader", F.col("doc_id").alias("label")).distinct())
     return stash(rows.mapInPandas(_verify(k, least), "a long, b long"))
 
 
 def _prefix(k: int, least: float):
-    """(leader, doc_id, feature, short) for each member of a leader's buckets: the features of which two texts of similarity
+    """(leader, doc_id, label, feature, short) for each member of a leader's buckets: the features of which two texts of similarity
     `least` share one.
 
     Let x and y be such texts, x no shorter than y, in any order of features that is the same for both. They share least * |x|
@@ -229,8 +229,8 @@ def _prefix(k: int, least: float):
     def run(batches):
         last, common = None, np.empty(0, _U)
         for x in batches:
-            out = [(np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)]
-            for leader, shard, doc, text in zip(x.leader, x.shard, x.doc_id, x.text):
+            out = [(np.empty(0, np.int64),) * 4 + (np.empty(0, bool),)]
+            for leader, shard, doc, label, text in zip(x.leader, x.shard, x.doc_id, x.label, x.text):
                 if (leader, shard) != last:
                     last, common = (leader, shard), np.empty(0, _U)
                 f = _features(text, k)
@@ -239,8 +239,8 @@ def _prefix(k: int, least: float):
                 elif n := len(f):
                     order = np.lexsort((f, np.isin(f, common)))
                     long, short = (n - math.ceil(share * n - 1e-9) + 1 for share in (least, 2 * least / (1 + least)))
-                    out.append((np.full(long, leader), np.full(long, doc), f[order[:long]].view(np.int64), np.arange(long) < short))
-            yield pd.DataFrame({name: np.concatenate(c) for name, c in zip(("leader", "doc_id", "feature", "short"), zip(*out))})
+                    out.append((np.full(long, leader), np.full(long, doc), np.full(long, label), f[order[:long]].view(np.int64), np.arange(long) < short))
+            yield pd.DataFrame({name: np.concatenate(c) for name, c in zip(("leader", "doc_id", "label", "feature", "short"), zip(*out))})
 
     return run
 
@@ -260,21 +260,20 @@ def _fallen_apart(texts: DataFrame, tagged: DataFrame, mixed: DataFrame, k: int,
     members = stash(join_split(tagged, mixed, ["bucket"]))
     whole = members.groupBy("bucket", "leader").agg(F.first("n").alias("n"), F.first("strays").alias("strays"))
     whole = whole.groupBy("leader").agg(F.sum(F.col("n") * F.col("strays")).alias("pairs"), F.max("n").alias("n")).filter(F.col("n") > large)
-    big = stash(join_split(members, whole.select("leader", "pairs"), ["leader"]).select("leader", "pairs", "doc_id", "label").distinct())
+    big = stash(join_split(members, whole.select("leader", "pairs"), ["leader"]).select("leader", "doc_id", "label").distinct())
     if big.isEmpty():
         return members.select("bucket", "doc_id", "label", "main")
-    features = _beside_leader(texts, big.select("doc_id", "leader")).mapInPandas(_prefix(k, least), "leader long, doc_id long, feature long, short boolean")
-    features = stash(features.withColumn("group", F.xxhash64("leader", "feature")))
-    shared = features.groupBy("group").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("short").alias("short")).filter("lo < hi and short").select("group")
-    groups = join_split(features, shared, ["group"], "left_semi").select("leader", F.col("group").alias("bucket"), "doc_id").distinct()
-    groups = stash(groups.join(big, ["leader", "doc_id"]))
-    split = join_split(groups, _mixed(groups), ["bucket"])
-    needed = split.groupBy("bucket", "leader").agg(F.first("n").alias("n"), F.first("strays").alias("strays"), F.first("pairs").alias("pairs"))
-    needed = needed.groupBy("leader").agg(F.sum(F.col("n") * F.col("strays")).alias("needed"), F.first("pairs").alias("pairs"))
-    kept_whole = stash(needed.filter("needed >= pairs").select("leader"))
-    fallen = big.select("leader").distinct().join(kept_whole, "leader", "left_anti")
-    stay = join_split(members, stash(fallen), ["leader"], "left_anti").select("bucket", "doc_id", "label", "main")
-    return stay.union(join_split(split, kept_whole, ["leader"], "left_anti").select("bucket", "doc_id", "label", "main"))
+    features = _beside_leader(texts, big).mapInPandas(_prefix(k, least), "leader long, doc_id long, label long, feature long, short boolean")
+    features = stash(features.withColumn("bucket", F.xxhash64("leader", "feature")).drop("feature"))
+    classes = features.groupBy("leader", "bucket", "label").agg(F.count("*").alias("n"), F.max("short").alias("short"))
+    groups = classes.groupBy("leader", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("strays"), F.max("short").alias("short"))
+    groups = stash(groups.filter("strays > 0 and short"))
+    needed = groups.groupBy("leader").agg(F.sum(F.col("n") * F.col("strays")).alias("needed"))
+    fallen = whole.join(needed, "leader", "left").filter(F.coalesce("needed", F.lit(0)) < F.col("pairs")).select("leader")
+    fallen = stash(fallen)
+    stay = join_split(members, fallen, ["leader"], "left_anti").select("bucket", "doc_id", "label", "main")
+    chosen = stash(groups.join(fallen, "leader", "left_semi").select("bucket", "main"))
+    return stay.union(join_split(features, chosen, ["bucket"]).select("bucket", "doc_id", "label", "main").distinct())
 
 
 def _stray_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: DataFrame, k: int, least: float, block: int, most: int) -> DataFrame:

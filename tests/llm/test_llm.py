@@ -203,7 +203,7 @@ def test_prefixes_hold_a_common_feature():
         texts = [" ".join(w).encode() for w in (lead, x, y)]
         if near_dedup.similarity(*(near_dedup.shingles(t) for t in texts[1:])) < 0.8:
             continue
-        rows = pd.DataFrame({"leader": 0, "shard": 0, "doc_id": [0, 1, 2], "text": texts})
+        rows = pd.DataFrame({"leader": 0, "shard": 0, "doc_id": [0, 1, 2], "label": [0, 1, 2], "text": texts})
         got = next(near_dedup._prefix(5, 0.8)([rows]))
         sides = {d: g for d, g in got.groupby("doc_id")}
         assert set(sides[1].feature) & set(sides[2].feature[sides[2].short])
