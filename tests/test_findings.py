@@ -120,9 +120,17 @@ def test_guard(spark):
         "with x as (select * from text.`/etc/hostname`) select * from x", "select (select max(value) from text.`/etc/hostname`)", "select java_method('java.lang.System', 'getenv', 'PATH')", "select REFLECT ('java.lang.System', 'getenv', 'PATH')",
         "select `java_method`('java.lang.System', 'getenv', 'PATH')", "select try_reflect('a', 'b')", "select identifier('java_' || 'method')('a', 'b')", "select * from identifier('t')", "select * from range(9)", "select transform(id) using 'cat' from t",
     )
+    call = "java_method('java.lang.System', 'getProperty', 'user.dir')"
+    refused += (
+        rf"select r'\' a, {call} b", rf'select r"\" a, {call} b', f"select system.builtin.{call}", f"select `system`.`builtin`.{call}", f"select transform(array(1), x -> transform(array(x), y -> {call}))", f"select exists(select {call} from t)",
+        f"select sum(id) over w from t window w as (partition by {call})", f"select * from t lateral view explode(array({call})) e", f"select count(*) filter (where {call} = '') from t", f"select * from values ({call})", f"select * from t pivot (max({call}) for id in (1))",
+        f"with q as (select {call}) select * from q", f"from t |> where {call} = ''", f"select * from t, lateral (select {call})", f"select * from t order by {call} limit 1", "select not_a_function(id) from t", "execute immediate 'select 1'", "select current_user()",
+    )
     for bad in refused:
         with pytest.raises(ValueError):
-            guarded.read_only_sql(spark, bad, {"t": df})
+            guarded.check(spark, bad, ["t"])
+    allowed = ("select r'\\' a, upper('x') b", "select transform(array(id), x -> x + 1) from t", "select sum(id) over w from t window w as (order by id)", "select * from t lateral view explode(array(1)) e as f", "select `id`, cast(id as string), coalesce(id, 0) from t", "values (1), (2)")
+    assert all(guarded.read_only_sql(spark, good, {"t": df}).count() for good in allowed)
 
 
 def test_increments(spark):
