@@ -23,7 +23,9 @@ from .common import earlier, small_batches, spread, stash
 BUCKETS = 10_000
 #: Bytes of words: digits, letters and whatever is not ASCII. A-Z become a-z, all other ASCII bytes a blank.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_CSR = "doc_id array<long>, known array<boolean>, n_words array<int>, start array<int>, bucket array<int>, count array<int>"
+#: Columns of a CSR block, each the bytes of a numpy array: a Parquet reader would unfold Spark arrays of this length in memory.
+_TYPES = {"doc_id": "<i8", "known": "?", "n_words": "<i4", "start": "<i4", "bucket": "<u2", "count": "<u4"}
+_CSR = ", ".join(f"{name} binary" for name in _TYPES)
 
 
 class _Words(dict):
@@ -87,8 +89,8 @@ def _blocks(remember: int = 200_000, chunk: int = 20_000):
         owner, crc = grams(words, np.repeat(np.arange(len(texts)), [len(t) for t in texts]), joiner)
         at, count = np.unique(owner * BUCKETS + crc % np.uint32(BUCKETS), return_counts=True)
         start = np.searchsorted(at, np.arange(len(texts) + 1) * BUCKETS)
-        row = ([0 if pd.isna(i) else int(i) for i in ids], [not pd.isna(i) for i in ids], [len(t) for t in texts], start.astype(np.int32), (at % BUCKETS).astype(np.int32), count.astype(np.int32))
-        return pd.DataFrame([row], columns=["doc_id", "known", "n_words", "start", "bucket", "count"])
+        row = ([0 if pd.isna(i) else int(i) for i in ids], [not pd.isna(i) for i in ids], [len(t) for t in texts], start, at % BUCKETS, count)
+        return pd.DataFrame({name: [np.asarray(x).astype(kind).tobytes()] for (name, kind), x in zip(_TYPES.items(), row)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         joiner, known, ids, texts, size = _Joiner(), _Words(), [], [], 0
@@ -116,11 +118,25 @@ def csr(texts: DataFrame) -> DataFrame:
     return stash(rows.mapInPandas(_blocks(), _CSR))
 
 
+def _arrays(blocks: pd.DataFrame) -> Iterator[list[np.ndarray]]:
+    """The columns of each block as numpy arrays."""
+    for row in zip(*(blocks[name] for name in blocks.columns)):
+        yield [np.frombuffer(x, _TYPES[name]) for name, x in zip(blocks.columns, row)]
+
+
 def column_sums(blocks: DataFrame) -> np.ndarray:
-    """The sum of each bucket's counts over all documents; tasks sum before anything moves."""
-    cells = blocks.select(F.explode(F.arrays_zip("bucket", "count")).alias("c"))
+    """The sum of each bucket's counts over all documents: summed in tasks first, so that a row per bucket and task moves."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for bucket, count in _arrays(b):
+                total += np.bincount(bucket, count, BUCKETS).astype(np.int64)
+        yield pd.DataFrame({"bucket": np.arange(BUCKETS), "n": total})
+
     sums = np.zeros(BUCKETS, np.int64)
-    for r in cells.groupBy("c.bucket").agg(F.sum("c.count").alias("n")).collect():  # a row per bucket, whatever the input
+    rows = blocks.select("bucket", "count").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    for r in rows.collect():  # a row per bucket, whatever the input
         sums[r.bucket] = r.n
     return sums
 
@@ -136,7 +152,7 @@ def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for ids, known, n_words, start, bucket, count in zip(b.doc_id, b.known, b.n_words, b.start, b.bucket, b["count"]):
+            for ids, known, n_words, start, bucket, count in _arrays(b[list(_TYPES)]):
                 sums = [np.concatenate([[0], np.cumsum(x.astype(np.int64))]) for x in (count, count * gain[bucket])]
                 n, w = (x[start[1:]] - x[start[:-1]] for x in sums)
                 yield pd.DataFrame({"doc_id": [str(i) if k else None for i, k in zip(ids, known)], "n_words": n_words, "n_features": n, "weight": w})
