@@ -81,7 +81,7 @@ def grams(words: np.ndarray, owner: np.ndarray, joiner: _Joiner) -> tuple[np.nda
     return np.concatenate(owners), np.concatenate(found)
 
 
-def _blocks(remember: int = 200_000, chunk: int = 20_000):
+def _blocks(remember: int = 100_000, chunk: int = 20_000):
     """CSR blocks of about `chunk` words, but for single longer texts."""
 
     def block(ids: list, texts: list[list[int]], joiner: _Joiner) -> pd.DataFrame:
@@ -114,6 +114,9 @@ def csr(texts: DataFrame) -> DataFrame:
     """texts (doc_id, text) as written CSR blocks: in each, documents with their number of words, where their counts start, and buckets
     with counts. Null text is empty; ids pass as strings, since a null would turn longs into doubles."""
     small_batches(texts.sparkSession)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"  # a block is large: batches of Spark's default of 64 MB are held several times over
+    if texts.sparkSession.conf.get(key) in ("64MB", "67108864b"):
+        texts.sparkSession.conf.set(key, "8MB")
     rows = texts.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return stash(rows.mapInPandas(_blocks(), _CSR))
 
