@@ -10,6 +10,7 @@ learn together where in the text the label comes from.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,11 +41,13 @@ def windows(text: str, size: int = WINDOW) -> list[list[str]]:
     return [list(dict.fromkeys(ws[a : a + size])) for a in range(0, max(len(ws) - size // 2, 1), size // 2)] if ws else []
 
 
-def subwords(word: str, buckets: int) -> np.ndarray:
-    """Places in the table of the word itself, of its n-grams of 3 to 5 characters and of its longer beginnings, ends marked."""
-    w = f"<{word}>"
-    grams = [*[w] * 3, *(w[i : i + n] for n in range(3, 6) for i in range(len(w) - n + 1)), *(w[:n] for n in range(6, min(len(w), 10)))]
-    return np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams), np.int64, len(grams))
+def subwords(word: str, buckets: int) -> list[int]:
+    """Places in the table of the word itself (three times), of its n-grams of 3 to 5 characters and of its longer beginnings, ends marked."""
+    w: str | bytes = f"<{word}>"
+    if w.isascii():  # slices of bytes need no encoding of their own
+        w = w.encode()
+    grams = [w, w, w, *(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)), *(w[:n] for n in range(6, min(len(w), 10)))]
+    return [zlib.crc32(g if isinstance(w, bytes) else g.encode("utf-8", "surrogatepass")) % buckets for g in grams]
 
 
 def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,20 +69,29 @@ class Model:
     bias: float
 
     def word(self, w: str) -> float:
-        return float(self.gain[subwords(w, len(self.gain))].mean())
+        places = subwords(w, len(self.gain))
+        return sum(self.gain[p] for p in places) / len(places)
 
-    def score(self, text: str, known: dict[str, float]) -> float:
+    def words(self) -> Words:
+        return Words(self)
+
+    def score(self, text: str, known: Words) -> float:
         """Probability of the most toxic window; known: scores of words met before."""
-        most = None
-        for ws in windows(text):
-            total = 0.0
-            for w in ws:
-                if w not in known:
-                    known[w] = self.word(w)
-                total += known[w]
-            mean = total / (len(ws) + BLANK)
-            most = mean if most is None else max(most, mean)
-        return float(1 / (1 + np.exp(-np.clip((most or 0.0) + self.bias, -30, 30))))
+        means = [sum(map(known.__getitem__, ws)) / (len(ws) + BLANK) for ws in windows(text)]
+        return float(1 / (1 + np.exp(-np.clip(max(means, default=0.0) + self.bias, -30, 30))))
+
+
+class Words(dict):
+    """Scores of words under a model, each computed when it is first asked for."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.places, self.gain = len(model.gain), array("d", model.gain.tolist())
+
+    def __missing__(self, w: str) -> float:
+        gain, places = self.gain, subwords(w, self.places)
+        self[w] = value = sum([gain[p] for p in places]) / len(places)
+        return value
 
 
 def train(bags: list[tuple[list[list[str]], int]], buckets: int = 1 << 18, width: int = 8, steps: int = 120, patience: int = 25, rate: float = 2.0, rare: int = 4, seed: int = 3) -> Model:
@@ -102,7 +114,7 @@ def train(bags: list[tuple[list[list[str]], int]], buckets: int = 1 << 18, width
     owner = np.repeat(np.arange(len(bags)), np.diff(last, prepend=-1))
     grams = [subwords(w, buckets) for w in number]
     n_grams = np.array([len(g) for g in grams], np.int64)
-    gram, gram_word = np.concatenate([np.empty(0, np.int64), *grams]), np.repeat(np.arange(len(grams)), n_grams)
+    gram, gram_word = np.array([p for g in grams for p in g], np.int64), np.repeat(np.arange(len(grams)), n_grams)
     gram_at = np.concatenate([[0], np.cumsum(n_grams)]).astype(np.int64)
     slow = 1 / np.sqrt(1 + np.bincount(gram, np.array([texts_of[w] for w in number], float)[gram_word], buckets))
     aside = np.arange(len(bags)) % 5 == 0 if len(bags) >= 50 else np.zeros(len(bags), bool)
@@ -181,7 +193,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, remember:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, float] = {}
+        known = model.words()
         for texts in batches:
             out = []
             for text in texts:

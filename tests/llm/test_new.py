@@ -56,7 +56,7 @@ def test_misspellings_share_vectors(labelled_texts):
     strange = sorted(model.word(w) for w in (word(9) for _ in range(200)))
     for unseen in ("grumblefinks", "grumblef1nk", "snotwafle", "dunderheaad"):
         assert model.word(unseen) > strange[-5]
-    known = {}
+    known = model.words()
     assert model.score(" ".join(PLAIN[:20]) + " snotwafffle dunderheads grumblefinkk!", known) >= 0.5 > model.score(" ".join(PLAIN), known)
 
 
@@ -65,7 +65,7 @@ def test_toxicity_odd_rows(spark, labelled_texts):
     got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), labelled_texts[1].filter("false")).collect()
     assert len(got) == len(rows) and {r.score for r in got} == {0.5} and sum(r.held_out for r in got) >= 1
     model = toxicity.learn(*labelled_texts)
-    assert model.score(rows[-1][1], {}) >= 0.5 > model.score("", {}) == model.score(" \t", {})
+    assert model.score(rows[-1][1], model.words()) >= 0.5 > model.score("", model.words()) == model.score(" \t", model.words())
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity.score(empty, labelled_texts[1]).collect() == []
 
