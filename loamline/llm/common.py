@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     executors would not see it, so there it is an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="loamline-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)

@@ -29,11 +29,14 @@ _QUAD = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({ ]at[\])} ] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[({ ]dot[\])} ] ?|\.)[A-Za-z0-9-]{1,63}){1,5}", re.I)
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({ ]at[\])} ] ?[A-Za-z0-9-]++(?:(?: ?[\[({ ]dot[\])} ] ?|\.)[A-Za-z0-9-]++)++", re.I)
 #: What every match of _SPELLED holds from its "at" on: a text without it has none.
-_SPELLED_TAIL = re.compile(r"[\[({ ]at[\])} ] ?[A-Za-z0-9-]{1,63}(?: ?[\[({ ]dot[\])} ] ?|\.)[A-Za-z0-9-]", re.I)
+_SPELLED_TAIL = re.compile(r"[\[({ ]at[\])} ] ?[A-Za-z0-9-]++(?: ?[\[({ ]dot[\])} ] ?|\.)[A-Za-z0-9-]", re.I)
 _DOTTED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])")
-_LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z])(?:00[1-9][0-9]{0,2}[ .-])?\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,5}){1,4}(?![0-9A-Za-z])")
+#: Numbers one separator apart; phone numbers of two groups and more are proposed inside such runs.
+_RUN = re.compile(r"(?<![0-9A-Za-z])\(?[0-9]++\)?(?:[ ./-]\(?[0-9]++\)?)++")
+_RUN_GROUP = re.compile(r"\(?[0-9]+\)?")
+_RUN_BEFORE, _RUN_AFTER = re.compile(r"[0-9 ./()-]*$"), re.compile(r"[0-9 ./()-]*")
 _GROUP = re.compile(r"[0-9]+")
 #: Words that speak for or against a kind, looked for shortly before a candidate.
 HINTS = {"email": ("mail", "contact", "write", "reach"), "ip": ("ip", "host", "addr", "server"), "card": ("card", "visa", "credit", "pay"), "phone": ("phone", "tel", "call", "mobile", "fax")}
@@ -79,6 +82,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _phones(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """All runs of two groups and more with 7 to 15 digits, and the whole run if it has at most 15. A last group that runs on into
+    a word is left out."""
+    groups = [g.span() for g in _RUN_GROUP.finditer(text, start, end)]
+    if text[end : end + 1].isalnum():
+        groups.pop()
+    sizes = [sum(map(str.isdigit, text[a:b])) for a, b in groups]
+    out = []
+    for i, (a, _) in enumerate(groups):
+        digits = 0
+        for j in range(i, len(groups)):  # every group has a digit, so at most 15 are taken
+            digits += sizes[j]
+            if digits > 15:
+                break
+            if j > i and (digits >= 7 or (i == 0 and j == len(groups) - 1)):
+                out.append((a, groups[j][1]))
+    return out
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping proposals, with high recall; spans that the base patterns find may be among them."""
     out = []
@@ -86,7 +108,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         out += [("email", *m.span()) for m in _SPELLED.finditer(text)]
     if _DIGIT.search(text):
         out += [("ip", *m.span()) for m in _DOTTED.finditer(text)]
-        out += [("phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
+        for m in _RUN.finditer(text):
+            out += [("phone", a, b) for a, b in _phones(text, m.start(), m.end())]
         for m in _NUMBER.finditer(text):
             if m.end() - m.start() < 13:
                 continue
@@ -102,7 +125,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-FEATURES = ("kind", "length", "digits", "groups", "longest_group", "shortest_group", "luhn", "first_digit", "parts_ok", "parens", "dashes", "spaces", "dots", "letter_before", "letter_after", "digit_near", "touches_number", "hint", "against", "spelled_dots", "brackets", "last_part")
+FEATURES = ("kind", "length", "digits", "groups", "longest_group", "shortest_group", "luhn", "first_digit", "parts_ok", "parens", "dashes", "spaces", "dots", "letter_before", "letter_after", "digit_near", "touches_number", "hint", "against", "spelled_dots", "brackets", "last_part", "rest_of_run")
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -117,6 +140,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float("(" in s and ")" in s and any(map(str.isdigit, s))), s.count("-"), s.count(" "), s.count("."), float(before[-1:].isalpha()), float(after[:1].isalpha()), float(before[-1:].isdigit() or after[:1].isdigit()),
         float(bool(before[-1:] in tuple("-./+") and before) or bool(after[:1] in tuple("-/") and after) or (after[:1] == "." and after[1:2].isdigit())),
         float(any(h in context for h in HINTS[kind])), float(any(h in context for h in AGAINST)), len(re.findall(r"\bdot\b", low)), float(any(c in s for c in "[({")), len(re.split(r"[ .\])}]", s)[-1]),
+        sum(map(str.isdigit, _RUN_BEFORE.search(text[max(0, start - 12) : start])[0] + _RUN_AFTER.match(text[end : end + 12])[0])),
     ]
 
 
@@ -138,8 +162,8 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(n):
         kind, good = pick(*KINDS), bool(rng.integers(2))
         if kind == "email":
-            host = pick(" dot ", ".", " [dot] ", "(dot)").join([word(), pick("com", "org", "net", "de")])
-            s = word() + pick(" [at] ", "(at)", " (at) ", " at ") + host
+            host = pick(" dot ", ".", " [dot] ", "(dot)").join([*(word() for _ in range(pick(1, 1, 1, 2, 3, 6, 9))), pick("com", "org", "net", "de")])
+            s = pick(word(), word(), word() + "." + word(), "".join(word() for _ in range(20))) + pick(" [at] ", "(at)", " (at) ", " at ") + host
             if " at " in s and "dot" not in s:
                 good = False
             if not good:
@@ -158,9 +182,9 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
                 s = s[:-1] + str((int(s[-1]) + 1 + rng.integers(8)) % 10)
                 s = pick(s, digits(40), digits(16) + "-" + digits(16), word() + s)
         else:
-            s = pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{rng.integers(1, 99)} {digits(3)} {digits(4)} {digits(3)}")
+            s = pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{rng.integers(1, 99)} {digits(3)} {digits(4)} {digits(3)}", f"00{rng.integers(1, 99)} {digits(1)} {grouped(digits(8), 2, ' ')}", f"0{digits(1)} {grouped(digits(pick(8, 10)), 2, ' ')}", f"0{digits(2)}/{digits(pick(6, 7, 8))}")
             if not good:
-                s = pick(f"20{digits(2)}-0{rng.integers(1, 9)}-{digits(2)}", f"{digits(2)}.{digits(3)}", f"{digits(3)} {digits(3)}", f"{digits(4)} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(3)}", f"{digits(5)}-{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)} {digits(2)}")
+                s = pick(f"20{digits(2)}-0{rng.integers(1, 9)}-{digits(2)}", f"{digits(2)}.{digits(3)}", f"{digits(3)} {digits(3)}", f"{digits(4)} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(3)}", f"{digits(5)}-{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)} {digits(2)}", f"{digits(2)}/{digits(2)}/20{digits(2)}", grouped(digits(40), pick(2, 3, 4), " "), f"{digits(2)}/{digits(2)}/20{digits(2)} {digits(2)}")
         hint = pick(*HINTS[kind]) + pick(": ", " ") if good and rng.integers(2) else pick("", "", pick(*AGAINST) + " ")
         left = " ".join(word() for _ in range(rng.integers(1, 5))) + pick(" ", ". ", ", ") + hint
         text = left + s + pick(" ", ". ", ", ", "\n") + " ".join(word() for _ in range(3))
@@ -285,7 +309,8 @@ def _joined(spans) -> str:
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added for each row of docs.
 
-    Offsets are code points, ends exclusive. Null text is empty; a null doc_id stays null. Cost is linear in the text.
+    Offsets are code points, ends exclusive. Null text is empty; a null doc_id stays null. Each row stands for itself, repeated ones
+    too, and other columns are not read. Texts of any length are searched whole, at a cost linear in the text.
     """
     small_batches(docs.sparkSession)
     trees = trained(docs.sparkSession)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import join_split, spread
 
 #: (host, path, verdict) of the registered query.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -71,7 +71,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     stack = W.partitionBy("part", "height").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
     swept = height.withColumn("top", F.last("opened", ignorenulls=True).over(stack)).filter("turn = 1 and height > 0")
     best = swept.groupBy("host", "path").agg(F.max_by("top", F.struct(F.length("top.rule"), "top.rule")).alias("top"))
-    judged = asked.join(best, ["host", "path"], "left")
+    judged = join_split(asked, best, ["host", "path"], "left")  # URLs without a host, or repeated ones, are one key
     return judged.select("page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
 
 

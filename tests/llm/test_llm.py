@@ -395,6 +395,23 @@ def test_proposals_of_every_spelling_and_grouping(spark):
     assert len([c for c in pii.candidates(long_run) if c[0] == "card"]) <= 7 * 50_000
 
 
+def test_proposals_have_no_bounds_of_length(spark):
+    """Local parts, hosts and runs of groups one step and more beyond what any bound once allowed, and single digits and slashes."""
+    trees = pii.trained(spark)
+    emails = ["a" * n + " [at] example.org" for n in (64, 65, 3000)] + ["bob [at] " + ".".join("abcdefgh"[:n]) + ".example.org" for n in (4, 5, 6, 8)] + ["bob at " + "x" * 64 + " dot example dot org"]
+    phones = ["01 23 45 67 89 10", "0033 1 23 45 67 89", "06 12 34 56 78", "030/1234567"]
+    for kind, spellings in (("email", emails), ("phone", phones)):
+        for s in spellings:
+            text = f"contact me: {s}, thanks"
+            assert (kind, 12, 12 + len(s)) in pii.candidates(text), s
+            assert pii.find(text, trees)[1] == [(kind, 12, 12 + len(s))], s
+    for s in ("12/05/2024", "2024-05-12", "1 2 3", "1.2.3.4.5.6", " ".join("1234" for _ in range(40))):
+        assert not pii.find(f"on {s} it was", trees)[1], s
+    # a run of any length is proposed in pieces, at a bounded number for each group
+    assert len([c for c in pii.candidates("7 " * 50_000) if c[0] == "phone"]) <= 9 * 50_000
+    assert [c for c in pii.candidates("12 345678km") if c[0] == "phone"] == []
+
+
 def test_trees_are_calibrated(spark):
     trees = pii.trained(spark)
     x, y = pii.examples(800, seed=77)
@@ -536,6 +553,22 @@ def test_url_filter(spark, coalesced):
     assert url_filter.judge(df, url_filter.rule_table(spark).limit(0)).filter("rule is not null").count() == 0
 
 
+def test_pages_without_url_are_split(spark):
+    """All null URLs are one key: its rows must be split over tasks when they meet their verdict."""
+    pages = spark.range(60_000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 60 == 0, F.concat(F.lit("http://h"), "id", F.lit(".org/"))).alias("url"))
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionFactor")}
+    for k, v in zip(old, ("20k", "20k", "-1", "-1", "1")):
+        spark.conf.set(k, v)
+    try:
+        out = url_filter.judge(pages, url_filter.rule_table(spark)).select("page_id", "rule", F.spark_partition_id().alias("task")).toPandas()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    hot = out[out.rule.isna()]
+    assert len(out) == 60_000 and len(hot) == 59_000
+    assert hot.task.value_counts().max() < len(hot) / 2
+
+
 def test_rules_reach_over_partitions(spark, coalesced):
     """Nested rules whose intervals span several partitions, and one key that many hosts share."""
     rules = [("org", "", "block"), ("org", "/", "allow"), ("org", "/a", "block"), ("org", "/a/b", "allow"), ("c.org", "/a", "block"), ("h5.org", "/a/b", "block")]
