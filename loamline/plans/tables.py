@@ -226,12 +226,14 @@ def mark_duplicates(spark, d):
     return links.duplicates(fx.assets(spark, d))
 
 
-@query("""WITH RECURSIVE adv(id, alias) AS (SELECT * FROM (VALUES ('A1', 'A1'), ('A1', 'C1'), ('A2', 'A2'), ('A2', 'C1'), ('A3', 'A3'), ('A3', 'A2'), ('B1', 'B1'), ('B2', 'B2'), ('B2', 'X'), ('B3', 'B3')) t(id, alias)),
-  edge AS (SELECT DISTINCT a.id AS a, b.id AS b FROM adv a JOIN adv b ON a.alias = b.alias),
-  reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b) SELECT a AS id, min(b) AS group_id FROM reach GROUP BY a""")
+@query("""WITH a AS (SELECT 'A' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey - CASE WHEN o_custkey % 4 = 1 THEN 1 ELSE 0 END END AS class FROM orders)
+  SELECT id, CASE WHEN class IS NULL THEN id ELSE min(id) OVER (PARTITION BY class) END AS group_id FROM a""")
 def advisory_groups(spark, d):
-    rows = [("A1", ["C1"]), ("A2", ["C1"]), ("A3", ["A2"]), ("B1", []), ("B2", ["X"]), ("B3", None)]
-    return links.alias_groups(spark.createDataFrame(rows, "id string, aliases array<string>"))
+    """Orders as advisories: those of a customer share an alias, those of some pairs of customers a second one, some have none."""
+    customer = F.col("o_custkey")
+    alias = lambda c: F.concat(F.lit("C"), c.cast("string"))
+    aliases = F.when(F.col("o_orderkey") % 7 == 0, None).when(customer % 4 == 0, F.array(alias(customer), alias(customer + 1))).otherwise(F.array(alias(customer)))
+    return links.alias_groups(fx.table(spark, d, "orders").select(F.concat(F.lit("A"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("id"), aliases.alias("aliases")))
 
 
 # ---------------------------------------------------------------- search

@@ -1,4 +1,4 @@
-"""Registered queries whose inputs are small value tables, since the driver's tables hold nothing of their kind."""
+"""Registered queries of expressions, whose inputs are spelled out from rows of the given tables."""
 
 from __future__ import annotations
 
@@ -23,51 +23,55 @@ def query(sql: str | None = None):
     return add
 
 
-def _values(rows: list[tuple]) -> str:
-    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return ", ".join(f"({', '.join(map(quote, r))})" for r in rows)
+# A part is a place where a model is named, in one of six spellings; a nation is a model that ends.
 
 
-_SPELLINGS = [("Acme/m-3.5", 1), ("us.acme.m-3-5-20250101-v1:0", 2), ("m-3.5-latest", 3), ("acme/x/m-3.5-2025-01-01", 4), ("other-1", 5), ("M-4", 6)]
-_MODELS = [("m-3-5", "2026-01-01", "retired"), ("m-4", "2027-06-01", "deprecated")]
+@query("""SELECT p_partkey AS part, 'm-3-' || (p_partkey % 50) AS model, CASE WHEN n_regionkey < 2 THEN 'retired' ELSE 'deprecated' END AS state, CASE WHEN n_regionkey < 2 THEN 'high' ELSE 'medium' END AS severity
+FROM part JOIN nation ON n_nationkey = p_partkey % 50""")
+def model_lookup(spark, d):
+    part = fx.table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 50).cast("string").alias("m"), (F.col("p_partkey") % 6).alias("way"))
+    ways = [("Acme/M-3.", ""), ("us.acme.m-3-", "-20250101-v1:0"), ("m-3.", "-latest"), ("acme/x/m-3.", "-2025-01-01"), ("m-3-", "@20250101"), (" M-3.", " ")]
+    spelling = F.coalesce(*[F.when(F.col("way") == i, F.concat(F.lit(a), "m", F.lit(b))) for i, (a, b) in enumerate(ways)])
+    spelt = part.select(F.col("p_partkey").alias("part"), packages.model_key(spelling).alias("model"))
+    state = F.when(F.col("n_regionkey") < 2, "retired").otherwise("deprecated")
+    known = fx.table(spark, d, "nation").select(F.concat(F.lit("m-3-"), F.col("n_nationkey").cast("string")).alias("model"), state.alias("state"))
+    return spelt.join(known, "model").select("part", "model", "state", F.when(F.col("state") == "retired", "high").otherwise("medium").alias("severity"))
 
 
-@query(f"""WITH s AS (SELECT * FROM (VALUES {_values(_SPELLINGS)}) t(spelling, n)), m AS (SELECT * FROM (VALUES {_values(_MODELS)}) t(model, ends, state))
-SELECT n, model, state, CASE WHEN state = 'retired' THEN 'high' ELSE 'medium' END AS severity FROM s JOIN m ON m.model = CASE WHEN n <= 4 THEN 'm-3-5' ELSE lower(spelling) END""")
-def model_lookup(spark, d):
-    spelt = spark.createDataFrame(_SPELLINGS, "spelling string, n int").withColumn("model", packages.model_key(F.col("spelling")))
-    known = spark.createDataFrame(_MODELS, "model string, ends string, state string")
-    return spelt.join(F.broadcast(known), "model").select("n", "model", "state", F.when(F.col("state") == "retired", "high").otherwise("medium").alias("severity"))
+#: Metrics of a CVSS v3 vector by the digits of a part's key, and how many keys a digit lasts.
+_METRICS = (("AV", "NALP", 1), ("AC", "LH", 4), ("PR", "NLH", 8), ("UI", "NR", 24), ("S", "UC", 48), ("C", "HLN", 96), ("I", "HLN", 288), ("A", "HLN", 864))
 
 
-_VECTORS = [("AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8), ("AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H", 10.0), ("AV:L/AC:H/PR:L/UI:R/S:U/C:L/I:N/A:N", 2.2), ("AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N", 6.1), ("AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N", 0.0)]
+def _weights(metric: str, letters: str, by: int, values: tuple) -> str:
+    return f"CASE (p_partkey // {by}) % {len(letters)} " + " ".join(f"WHEN {i} THEN {v}e0" for i, v in enumerate(values)) + f" END AS {metric}"
 
 
-@query(f"SELECT vector, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS severity FROM (VALUES {_values(_VECTORS)}) t(vector, score)")
+@query(f"""WITH w AS (SELECT p_partkey, {_weights('av', 'NALP', 1, (0.85, 0.62, 0.55, 0.2))}, {_weights('ac', 'LH', 4, (0.77, 0.44))}, {_weights('pr', 'NLH', 8, (0.85, 0.62, 0.27))},
+    {_weights('pc', 'NLH', 8, (0.85, 0.68, 0.5))}, {_weights('ui', 'NR', 24, (0.85, 0.62))}, (p_partkey // 48) % 2 = 1 AS s, {_weights('c', 'HLN', 96, (0.56, 0.22, 0.0))}, {_weights('i', 'HLN', 288, (0.56, 0.22, 0.0))}, {_weights('a', 'HLN', 864, (0.56, 0.22, 0.0))} FROM part),
+  p AS (SELECT *, 1 - (1 - c) * (1 - i) * (1 - a) AS iss FROM w),
+  q AS (SELECT p_partkey, CASE WHEN s THEN 7.52e0 * (iss - 0.029e0) - 3.25e0 * pow(iss - 0.02e0, 15) ELSE 6.42e0 * iss END AS impact, 8.22e0 * av * ac * CASE WHEN s THEN pc ELSE pr END * ui AS ease, s FROM p),
+  r AS (SELECT p_partkey AS part, CASE WHEN impact <= 0 THEN 0.0e0 ELSE ceil(round(least(CASE WHEN s THEN 1.08e0 * (impact + ease) ELSE impact + ease END, 10) * 10, 4)) / 10 END AS score FROM q)
+SELECT part, score, CASE WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS severity FROM r""")
 def cvss3(spark, d):
-    df = spark.createDataFrame([(v,) for v, _ in _VECTORS], "vector string").withColumn("score", packages.cvss3(F.col("vector")))
+    key = F.col("p_partkey")
+    letter = lambda letters, by: F.substring(F.lit(letters), (F.floor(key / by) % len(letters) + 1).cast("int"), F.lit(1))
+    vector = F.concat_ws("/", F.lit("CVSS:3.1"), *[F.concat(F.lit(f"{m}:"), letter(letters, by)) for m, letters, by in _METRICS])
+    df = fx.table(spark, d, "part").select(key.alias("part"), packages.cvss3(vector).alias("score"))
     return df.withColumn("severity", packages.cvss_severity(F.col("score")))
 
 
-#: Rules of every operator and ecosystem, with a version on either side of each edge.
-_RANGES = [
-    ("1.4.2", "^1.2", "npm", True), ("2.0.0", "^1.2", "npm", False), ("0.3.1", "^0.2.3", "npm", False), ("0.0.4", "^0.0.3", "npm", False), ("0.0.3", "^0.0.3", "npm", True),
-    ("2.0.0-rc.1", ">=1 <2.0.0", "npm", False), ("4.0.0-alpha.2", "^3.1", "npm", False), ("6.0.0b2", ">=5,<6", "pypi", False), ("5.3.0-beta", "4.x || >=5.2.0 <5.3", "npm", False),
-    ("7.1.0-rc.3", ">=7.1.0-rc.2", "npm", True), ("7.1.0", ">7.1.0-rc.2", "npm", True), ("7.2.0-rc.3", ">=7.1.0-rc.2", "npm", False), ("28.2-jre", "28.2-jre", "maven", True), ("28.2-android", "28.2-jre", "maven", False), ("28.2-jre", ">=27", "maven", True),
-    ("3.1b2", "==3.1b2", "pypi", True), ("4.2.0rc2", "==4.2.0", "pypi", False), ("4.2.0-beta", "=4.2.0", "npm", False), ("2.4.7", "==2.4", "pypi", False), ("2.4.0", "==2.4", "pypi", True), ("2.4.7", "2.4", "npm", True),
-    ("3.6.1", "!=3.6.*", "pypi", False), ("3.7.0", "!=3.6.*", "pypi", True), ("5.1.3.4", "5.1.3.3", "nuget", False), ("5.1.3.3", "5.1.3.3", "nuget", True),
-    ("2.9.0", "~2.3", "composer", True), ("3.0.0", "~2.3", "composer", False), ("2.3.8", "~2.3.4", "composer", True), ("2.4.0", "~2.3.4", "composer", False), ("2.6.0", "^2.3@beta", "composer", True),
-    ("2.4.0", "~2.3", "npm", False), ("2.3.9", ">2.3", "npm", False), ("2.4.0", ">2.3", "npm", True), ("2.3.9", "<=2.3", "npm", True), ("3.5.0", "~> 3", "gem", True), ("2.2.0", "~> 2.1.4", "gem", False),
-    ("2.5", "~=2.2", "pypi", True), ("3.0", "~=2.2", "pypi", False), ("1.0.post1", ">1.0", "pypi", True), ("2.0.dev3", ">=1.0", "pypi", False), ("1.3.0", "1.2", "cargo", True), ("2.0.0", "1.2", "cargo", False),
-    ("2.1.0", "1.2.3 - 2", "npm", True), ("3.0.0", "1.2.3 - 2", "npm", False), ("20240131123456.0.1", ">20240131123455", "npm", True), ("1.2.3+build.7", "1.2.3", "npm", True), ("9.9.9", "*", "npm", True),
-    ("1.0.0", "workspace:*", "npm", None), ("x", "^1", "npm", None), ("1.0", "", "npm", None), ("1.5", "npm:other@^1.2", "npm", True),
-]
+# A line item is a version that is tested against one of seven ranges.
+_SPECS = (("^2.10", "npm", "a = 2 AND b >= 10"), ("~3.5", "npm", "a = 3 AND b = 5"), (">=1.20,<4.12", "pypi", "(a > 1 OR b >= 20) AND (a < 4 OR (a = 4 AND b < 12))"), ("~> 2.30", "gem", "a = 2 AND b >= 30"), ("!=3.7.*", "pypi", "NOT (a = 3 AND b = 7)"), ("1.x || >=5.40", "npm", "a = 1 OR a > 5 OR (a = 5 AND b >= 40)"), ("workspace:*", "npm", "NULL"))
 
 
-@query("SELECT version, spec, ecosystem, ok FROM (VALUES " + ", ".join(f"('{v}', '{s}', '{e}', CAST({'NULL' if k is None else str(k).upper()} AS BOOLEAN))" for v, s, e, k in _RANGES) + ") t(version, spec, ecosystem, ok)")
+@query(f"""WITH v AS (SELECT DISTINCT l_linenumber AS a, CAST(l_quantity AS INT) AS b, l_suppkey % 3 AS c, l_suppkey % {len(_SPECS)} AS k FROM lineitem)
+SELECT a || '.' || b || '.' || c AS version, CASE k {" ".join(f"WHEN {i} THEN '{s}'" for i, (s, _, _) in enumerate(_SPECS))} END AS spec, CAST(CASE k {" ".join(f"WHEN {i} THEN ({t})" for i, (_, _, t) in enumerate(_SPECS))} END AS BOOLEAN) AS ok FROM v""")
 def version_satisfies(spark, d):
-    df = spark.createDataFrame([r[:3] for r in _RANGES], "version string, spec string, ecosystem string")
-    return df.withColumn("ok", versions.satisfies(F.col("version"), F.col("spec"), F.col("ecosystem")))
+    k = F.col("l_suppkey") % len(_SPECS)
+    of = lambda at: F.coalesce(*[F.when(k == i, r[at]) for i, r in enumerate(_SPECS)])
+    version = F.concat_ws(".", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), (F.col("l_suppkey") % 3).cast("string"))
+    df = fx.table(spark, d, "lineitem").select(version.alias("version"), of(0).alias("spec"), of(1).alias("ecosystem")).distinct()
+    return df.select("version", "spec", versions.satisfies(F.col("version"), F.col("spec"), F.col("ecosystem")).alias("ok"))
 
 
 @query("""WITH v AS (SELECT DISTINCT l_suppkey AS repo_id, CAST(l_linenumber AS INTEGER) AS major, CAST(l_quantity AS INTEGER) AS minor FROM lineitem)
@@ -93,17 +97,22 @@ def rule_match(spark, d):
     return technologies.by_dependency(fx.deps(spark, d), rules)
 
 
-_LOCKS = [(1, "", "1.0"), (1, "a/", "1.1"), (1, "a/b/", "1.2"), (2, "z/", "2.0")]
-_AT = [(1, "a/b/c/"), (1, "a/x/"), (1, ""), (1, "ab/"), (2, "z/"), (2, "y/")]
+# A page's path is the folder of a manifest; every folder whose name's length is divisible by three has a lockfile.
+_PATH = r"://([^?#]*/)[^/?#]*"
 
 
-@query(f"""WITH l AS (SELECT * FROM (VALUES {_values(_LOCKS)}) t(repo_id, at_folder, version)), m AS (SELECT * FROM (VALUES {_values(_AT)}) t(repo_id, folder)),
-  hits AS (SELECT m.repo_id, m.folder, l.version, row_number() OVER (PARTITION BY m.repo_id, m.folder ORDER BY length(l.at_folder) DESC) AS place FROM m JOIN l ON l.repo_id = m.repo_id AND starts_with(m.folder, l.at_folder))
-SELECT m.repo_id, m.folder, h.version AS resolved FROM m LEFT JOIN hits h ON h.repo_id = m.repo_id AND h.folder = m.folder AND h.place = 1""")
+@query(f"""WITH m AS (SELECT DISTINCT regexp_extract(url, '{_PATH}', 1) AS folder FROM pages WHERE regexp_extract(url, '{_PATH}', 1) <> ''),
+  parts AS (SELECT string_split(folder, '/') AS p FROM m), every AS (SELECT p, unnest(generate_series(1, len(p) - 1)) AS n FROM parts),
+  l AS (SELECT DISTINCT array_to_string(p[1:n], '/') || '/' AS at_folder FROM every)
+SELECT folder, (SELECT max_by(length(at_folder) || '.0', length(at_folder)) FROM l WHERE length(at_folder) % 3 = 0 AND starts_with(folder, at_folder)) AS resolved FROM m""")
 def nearest_lockfile(spark, d):
-    rows = [(r, "npm", "p", None, "runtime", f"{f}package.json", False) for r, f in _AT] + [(r, "npm", "p", v, "runtime", f"{f}package-lock.json", True) for r, f, v in _LOCKS]
-    deps = spark.createDataFrame(rows, "repo_id int, ecosystem string, name string, version string, scope string, manifest string, is_lock boolean")
-    return manifests.resolve(deps).select("repo_id", F.regexp_replace("manifest", "package.json$", "").alias("folder"), "resolved")
+    folders = fx.table(spark, d, "pages").select(F.regexp_extract("url", _PATH, 1).alias("folder")).filter("folder <> ''").distinct()
+    parts = F.split("folder", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))
+    locks = folders.select(F.explode(ups).alias("folder")).distinct().filter(F.length("folder") % 3 == 0)
+    rows = lambda df, version, file, is_lock: df.select(F.lit(1).alias("repo_id"), F.lit("npm").alias("ecosystem"), F.lit("p").alias("name"), version.cast("string").alias("version"), F.lit("runtime").alias("scope"), F.concat("folder", F.lit(file)).alias("manifest"), F.lit(is_lock).alias("is_lock"))
+    deps = rows(folders, F.lit(None), "package.json", False).union(rows(locks, F.concat(F.length("folder").cast("string"), F.lit(".0")), "package-lock.json", True))
+    return manifests.resolve(deps).select(F.regexp_replace("manifest", "package.json$", "").alias("folder"), "resolved")
 
 
 _DOC = "# One\ntext\n## Two words\n#### deep\n### Three\n"
@@ -115,13 +124,13 @@ def headings(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.array_join(T.headings(doc), "|").alias("headings"))
 
 
-_PURLS = [("npm", "@a/b c", "1.0", "pkg:npm/%40a/b%20c@1.0"), ("pypi", "Typing_Extensions", "4", "pkg:pypi/typing-extensions@4"), ("maven", "g.h:i", None, "pkg:maven/g.h/i"), ("none", "x", "1", None)]
-
-
-@query(f"SELECT ecosystem, name, purl FROM (VALUES {_values(_PURLS)}) t(ecosystem, name, version, purl)")
+@query("""SELECT p_partkey AS part, CASE p_partkey % 4 WHEN 0 THEN 'pkg:npm/%40a/' || replace(p_name, ' ', '%20') || '@' || p_size || '.0' WHEN 1 THEN 'pkg:pypi/' || lower(replace(replace(p_name, ' ', '-'), '_', '-')) || '@' || p_size || '.0' WHEN 2 THEN 'pkg:maven/g.h/' || replace(p_name, ' ', '%20') END AS purl FROM part""")
 def purl_build(spark, d):
-    df = spark.createDataFrame([r[:3] for r in _PURLS], "ecosystem string, name string, version string")
-    return df.select("ecosystem", "name", packages.purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("purl"))
+    way, name = F.col("p_partkey") % 4, F.col("p_name")
+    ecosystem = F.when(way == 0, "npm").when(way == 1, "pypi").when(way == 2, "maven").otherwise("none")
+    named = F.when(way == 0, F.concat(F.lit("@a/"), name)).when(way == 1, F.replace(F.upper(name), F.lit(" "), F.lit("_."))).otherwise(F.concat(F.lit("g.h:"), name))
+    version = F.when(way < 2, F.concat(F.col("p_size").cast("string"), F.lit(".0")))
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("part"), packages.purl(ecosystem, named, version).alias("purl"))
 
 
 def _files(spark, d, most: int = 500):

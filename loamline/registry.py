@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import inherited, keys, tables, values
+from .plans import graphs, inherited, keys, tables, values
 
-QUERIES: dict = {**tables.QUERIES, **values.QUERIES, **keys.QUERIES, **inherited.QUERIES}
-ORACLES: dict = {**tables.ORACLES, **values.ORACLES, **keys.ORACLES, **inherited.ORACLES}
+QUERIES: dict = {**tables.QUERIES, **values.QUERIES, **keys.QUERIES, **inherited.QUERIES, **graphs.QUERIES}
+ORACLES: dict = {**tables.ORACLES, **values.ORACLES, **keys.ORACLES, **inherited.ORACLES, **graphs.ORACLES}

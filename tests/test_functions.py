@@ -83,3 +83,32 @@ def test_text(spark):
     assert value(spark, text.csv_cell(F.lit('=a"b,c'))) == "\"'=a\"\"b,c\""
     assert value(spark, text.detect_license(F.lit("The MIT License and Apache License"))) == "Apache-2.0 OR MIT"
     assert value(spark, text.content_type(F.lit("a/b.TSX"))) == "TypeScript"
+
+
+#: Rules of every operator and ecosystem, with a version on either side of each edge.
+RANGES = [
+    ("1.4.2", "^1.2", "npm", True), ("2.0.0", "^1.2", "npm", False), ("0.3.1", "^0.2.3", "npm", False), ("0.0.4", "^0.0.3", "npm", False), ("0.0.3", "^0.0.3", "npm", True),
+    ("2.0.0-rc.1", ">=1 <2.0.0", "npm", False), ("4.0.0-alpha.2", "^3.1", "npm", False), ("6.0.0b2", ">=5,<6", "pypi", False), ("5.3.0-beta", "4.x || >=5.2.0 <5.3", "npm", False),
+    ("7.1.0-rc.3", ">=7.1.0-rc.2", "npm", True), ("7.1.0", ">7.1.0-rc.2", "npm", True), ("7.2.0-rc.3", ">=7.1.0-rc.2", "npm", False), ("28.2-jre", "28.2-jre", "maven", True), ("28.2-android", "28.2-jre", "maven", False), ("28.2-jre", ">=27", "maven", True),
+    ("3.1b2", "==3.1b2", "pypi", True), ("4.2.0rc2", "==4.2.0", "pypi", False), ("4.2.0-beta", "=4.2.0", "npm", False), ("2.4.7", "==2.4", "pypi", False), ("2.4.0", "==2.4", "pypi", True), ("2.4.7", "2.4", "npm", True),
+    ("3.6.1", "!=3.6.*", "pypi", False), ("3.7.0", "!=3.6.*", "pypi", True), ("5.1.3.4", "5.1.3.3", "nuget", False), ("5.1.3.3", "5.1.3.3", "nuget", True),
+    ("2.9.0", "~2.3", "composer", True), ("3.0.0", "~2.3", "composer", False), ("2.3.8", "~2.3.4", "composer", True), ("2.4.0", "~2.3.4", "composer", False), ("2.6.0", "^2.3@beta", "composer", True),
+    ("2.4.0", "~2.3", "npm", False), ("2.3.9", ">2.3", "npm", False), ("2.4.0", ">2.3", "npm", True), ("2.3.9", "<=2.3", "npm", True), ("3.5.0", "~> 3", "gem", True), ("2.2.0", "~> 2.1.4", "gem", False),
+    ("2.5", "~=2.2", "pypi", True), ("3.0", "~=2.2", "pypi", False), ("1.0.post1", ">1.0", "pypi", True), ("2.0.dev3", ">=1.0", "pypi", False), ("1.3.0", "1.2", "cargo", True), ("2.0.0", "1.2", "cargo", False),
+    ("2.1.0", "1.2.3 - 2", "npm", True), ("3.0.0", "1.2.3 - 2", "npm", False), ("20240131123456.0.1", ">20240131123455", "npm", True), ("1.2.3+build.7", "1.2.3", "npm", True), ("9.9.9", "*", "npm", True),
+    ("1.0.0", "workspace:*", "npm", None), ("x", "^1", "npm", None), ("1.0", "", "npm", None), ("1.5", "npm:other@^1.2", "npm", True),
+]
+
+
+def test_ranges_of_every_ecosystem(spark):
+    df = spark.createDataFrame(RANGES, "version string, spec string, ecosystem string, want boolean")
+    got = df.withColumn("got", versions.satisfies(F.col("version"), F.col("spec"), F.col("ecosystem"))).collect()
+    assert [tuple(r) for r in got if r.got != r.want] == []
+
+
+VECTORS = [("AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8), ("AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H", 10.0), ("AV:L/AC:H/PR:L/UI:R/S:U/C:L/I:N/A:N", 2.2), ("AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N", 6.1), ("AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N", 0.0)]
+
+
+def test_scores_of_vectors(spark):
+    df = spark.createDataFrame(VECTORS, "vector string, want double").withColumn("got", packages.cvss3(F.col("vector")))
+    assert [r.got for r in df.collect()] == [want for _, want in VECTORS]
