@@ -141,10 +141,12 @@ def _files(spark, d, most: int = 500):
     def made(file, entry, by):
         entries = deps.select("repo_id", "name", entry.alias("entry")).distinct()
         parts = entries.groupBy("repo_id").agg(F.ceil(F.count("*") / most).alias("parts"))
-        folder = F.pmod(F.xxhash64("name"), F.col("parts")).cast("string")
+        folder = F.pmod(F.xxhash64("name"), F.col("parts"))
         sizes = parts.select(F.col("repo_id").alias("of"), F.xxhash64("repo_id").alias("key"), "parts")  # one more key, so that a skewed join can be split
         dealt = entries.join(sizes, F.col("repo_id").eqNullSafe(F.col("of")) & (F.xxhash64("repo_id") == F.col("key")))
-        return dealt.groupBy("repo_id", F.concat(folder, F.lit(f"/{file}")).alias("path")).agg(F.array_join(F.array_sort(F.collect_list("entry")), by).alias("text"))
+        # the path as an aggregate: as a key, the rules of names would be tried on every entry and not once for each file
+        named = F.min(F.concat(folder.cast("string"), F.lit(f"/{file}")))
+        return dealt.groupBy("repo_id", folder.alias("folder")).agg(named.alias("path"), F.array_join(F.sort_array(F.collect_list("entry")), by).alias("text")).drop("folder")
 
     req = made("requirements.txt", F.concat("name", F.lit(">=1")), "\n")
     return req.union(made("uv.lock", F.concat(F.lit('[[package]]\nname = "'), "name", F.lit('"\nversion = "'), "version", F.lit('"\n')), ""))
