@@ -34,6 +34,23 @@ def test_merge(spark):
     assert package_graph.merged(docs.limit(0), deps).collect() == []
 
 
+def test_merge_of_one_and_of_several_documents(spark):
+    half = {**DOC, "packages": []}, {**DOC, "relationships": []}
+    landed = [(1, json.dumps(DOC)), (2, json.dumps(half[0])), (2, json.dumps(half[1])), (None, json.dumps(DOC)), (None, json.dumps(DOC))]
+    docs = package_graph.read_documents(spark.createDataFrame(landed, "repo_id long, text string"))
+    deps = spark.createDataFrame([], "repo_id long, ecosystem string, name string")
+    rows = package_graph.merged(docs, deps).collect()
+    per = {i: {tuple(r)[1:] for r in rows if r.repo_id == i} for i in (1, 2, None)}
+    assert per[1] == per[2] and len(per[1]) == 5 and {r.name: r.depth for r in rows if r.repo_id == 1}["g.h:C"] == 3
+    assert len(per[None]) == 6 and {r[-1] for r in per[None]} == {None}
+    first = docs.filter("repo_id = 1")
+    assert package_graph.merged(first, deps, most=3).count() == 5
+    with pytest.raises(Exception, match="over 2 deep"):
+        package_graph.merged(first, deps, most=2).count()
+    plan = package_graph.merged(first, deps)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_parse_json") + plan.count("parse_json(") <= 2 and plan.count("Join") == 1
+
+
 def test_depths(spark):
     roots = spark.createDataFrame([(1, "a"), (2, "a")], "repo_id long, element string")
     chain = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "b", "d"), (1, "a", "d"), (2, "b", "c")], "repo_id long, source string, target string")
