@@ -26,13 +26,17 @@ def owners(packages: DataFrame, repos: DataFrame) -> DataFrame:
 def routes(deps: DataFrame, packages: DataFrame, repos: DataFrame, top: int = 5) -> DataFrame:
     """src, dst, via, scope_rank: at most `top` routes of each pair, strongest scope first.
 
-    Consumers that publish the package themselves are no consumers of it. Dependencies are reduced to distinct
-    (consumer, package, strongest scope) before the joins, which are then narrow.
+    Consumers that publish the package themselves are no consumers of it. Dependencies on packages without an owner, which are no
+    links, go before anything is grouped: a package has one owner at most, so that the join adds no rows. The hash is one more key,
+    so that the owners are shuffled anew after their aggregation and a package with very many consumers can be split.
     """
     norm = norm_name(F.col("ecosystem"), F.col("name"))
-    used = deps.groupBy(F.col("repo_id").alias("src"), "ecosystem", norm.alias("norm")).agg(F.min(rank_of("scope", SCOPE_RANK, 0)).alias("scope_rank"))
+    key = F.xxhash64("ecosystem", "norm").alias("key")
+    asked = deps.select(F.col("repo_id").alias("src"), "ecosystem", norm.alias("norm"), rank_of("scope", SCOPE_RANK, 0).alias("scope_rank")).select("*", key)
+    owned = asked.join(owners(packages, repos).select("*", key), ["ecosystem", "norm", "key"]).filter("src <> dst")
+    used = owned.groupBy("src", "dst", "ecosystem", "norm").agg(F.min("scope_rank").alias("scope_rank"))
     own = packages.select(F.col("repo_id").alias("src"), "ecosystem", norm.alias("norm")).distinct()
-    linked = used.join(own, ["src", "ecosystem", "norm"], "left_anti").join(owners(packages, repos), ["ecosystem", "norm"]).filter("src <> dst")
+    linked = used.join(own, ["src", "ecosystem", "norm"], "left_anti")
     via = linked.select("src", "dst", F.concat_ws(" ", "ecosystem", "norm").alias("via"), "scope_rank")
     merged = via.groupBy("src", "dst", "via").agg(F.min("scope_rank").cast("int").alias("scope_rank"))
     place = F.row_number().over(W.partitionBy("src", "dst").orderBy("scope_rank", "via"))
