@@ -253,11 +253,23 @@ def _mixed(members: DataFrame) -> DataFrame:
     return sums.filter("strays > 0")
 
 
+def _one_for_leader(members: DataFrame) -> DataFrame:
+    """members (bucket, leader, doc_id, label, main, n, strays) where the buckets of a leader are one, if that takes no more comparisons
+    than bucket by bucket. The bands of one group of near copies are many buckets of nearly the same texts, and a pair met in each."""
+    apart = members.groupBy("leader", "bucket").agg(F.first(F.col("n") * F.col("strays")).alias("pairs")).groupBy("leader").agg(F.sum("pairs").alias("apart"), F.count("*").alias("buckets")).filter("buckets > 1")
+    docs = stash(join_split(members, apart, ["leader"]).select("leader", "doc_id", "label").distinct())
+    classes = docs.groupBy("leader", "label").agg(F.count("*").alias("n"))
+    sums = classes.groupBy("leader").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("strays"))
+    one = stash(sums.join(apart, "leader").filter("n * strays <= apart").select("leader", "main", "n", "strays"))
+    whole = join_split(docs, one, ["leader"]).withColumn("bucket", F.xxhash64("leader"))
+    return join_split(members, one.select("leader"), ["leader"], "left_anti").unionByName(whole)
+
+
 def _fallen_apart(texts: DataFrame, tagged: DataFrame, mixed: DataFrame, k: int, least: float, large: int) -> DataFrame:
     """bucket, doc_id, label, main: the members of mixed buckets, where large buckets are replaced by groups of documents that share a
     feature of `_prefix`. Both hold every pair that may be linked; a leader's buckets stay whole where groups would need more
     comparisons."""
-    members = stash(join_split(tagged, mixed, ["bucket"]))
+    members = stash(_one_for_leader(stash(join_split(tagged, mixed, ["bucket"]))))
     whole = members.groupBy("bucket", "leader").agg(F.first("n").alias("n"), F.first("strays").alias("strays"))
     whole = whole.groupBy("leader").agg(F.sum(F.col("n") * F.col("strays")).alias("pairs"), F.max("n").alias("n")).filter(F.col("n") > large)
     big = stash(join_split(members, whole.select("leader", "pairs"), ["leader"]).select("leader", "doc_id", "label").distinct())

@@ -174,3 +174,17 @@ def test_crc_of_joined_strings():
     crc = lambda side: np.array([zlib.crc32(p[side]) for p in pairs], np.uint32)
     got = joiner.join(crc(0), crc(1), np.array([len(b) for _, b in pairs]))
     assert got.tolist() == [zlib.crc32(a + b) for a, b in pairs]
+
+
+def test_buckets_of_a_leader_are_compared_once(spark):
+    from loamline.llm import near_dedup
+
+    # 20 bands of leader 1 hold nearly the same 60 documents; leader 500's two buckets share none
+    near = [(b, 1, d, d if d % 6 == 0 else 1) for b in range(20) for d in range(2, 62) if d % 20 != b]
+    apart = [(100 + d // 100, 500, d, d if d % 50 == 0 else 500 + d // 100) for d in range(601, 800)]
+    tagged = spark.createDataFrame(near + apart, "bucket long, leader long, doc_id long, label long")
+    members = tagged.join(near_dedup._mixed(tagged), "bucket")
+    rows = near_dedup._one_for_leader(members).collect()
+    assert len([r for r in rows if r.leader == 1]) == 60 and len({r.bucket for r in rows if r.leader == 1}) == 1
+    assert {(r.n, r.strays, r.main) for r in rows if r.leader == 1} == {(60, 10, 1)}
+    assert {r.bucket for r in rows if r.leader == 500} == {106, 107} and len([r for r in rows if r.leader == 500]) == 199
