@@ -95,16 +95,21 @@ def alias_groups(advisories: DataFrame, rounds: int = 60) -> DataFrame:
     """id, group_id: advisories that share an alias, directly or through others, are one group. advisories: id, aliases.
 
     Every round takes the smallest label of all that share an alias and then jumps to that label's own label, so that long
-    chains settle in few rounds; labels that have not settled after `rounds` are an error, not a result.
+    chains settle in few rounds; labels that have not settled after `rounds` are an error, not a result. Only aliases of two
+    advisories and more link any; they are found once, and the rounds read these alone.
     """
     pairs = advisories.select("id", F.explode(F.array_union(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias")).distinct()
-    labels = pairs.select("id").distinct().withColumn("group_id", F.col("id"))
+    shared = pairs.groupBy("alias").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("alias")
+    linked = pairs.join(shared, "alias").checkpoint()
+    labels = linked.select("id").distinct().withColumn("group_id", F.col("id"))
     for _ in range(rounds):
-        by_alias = pairs.join(labels, "id").groupBy("alias").agg(F.min("group_id").alias("low"))
-        near = pairs.join(by_alias, "alias").groupBy("id").agg(F.min("low").alias("low"))
+        own = linked.join(labels, "id")
+        by_alias = own.groupBy("alias").agg(F.min("group_id").alias("low"))
+        near = own.join(by_alias, "alias").groupBy("id").agg(F.min("low").alias("low"), F.min("group_id").alias("before"))
         jump = labels.select(F.col("id").alias("low"), F.col("group_id").alias("far"))
-        new = near.join(jump, "low", "left").select("id", F.least("low", "far").alias("group_id")).checkpoint()
-        if new.join(labels, ["id", "group_id"], "left_anti").isEmpty():
-            return new
-        labels = new
+        lower = F.least("low", "far")
+        new = near.join(jump, "low", "left").select("id", lower.alias("group_id"), (lower < F.col("before")).alias("moved")).checkpoint()
+        labels = new.select("id", "group_id")
+        if new.filter("moved").isEmpty():
+            return advisories.select("id").filter("id is not null").distinct().join(labels, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
     raise RuntimeError("alias groups did not settle")

@@ -90,3 +90,12 @@ def test_long_chains_of_aliases_are_one_group(spark):
     assert got == {i: "A000" if i[0] == "A" else i for i, _ in chain}
     with pytest.raises(RuntimeError):
         links.alias_groups(df, rounds=2)
+
+
+def test_alias_groups_read_shared_aliases_alone(spark):
+    from loamline.operators import links
+
+    df = spark.createDataFrame([("a", ["x", "own"]), ("b", ["x"]), ("c", ["a", None]), ("d", None), ("d", ["lone"]), (None, ["x"])], "id string, aliases array<string>")
+    out = links.alias_groups(df)
+    assert sorted(tuple(r) for r in out.collect()) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d")]
+    assert "coalesce(group_id" in out._jdf.queryExecution().optimizedPlan().toString()  # what shares no alias is in no round
