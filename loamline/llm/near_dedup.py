@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, gram_hashes, join_split, mix, shingles, small_batches, stash, word_hashes
+from .common import connected, gram_hashes, join_split, mix, n_words, shingles, small_batches, stash, word_hashes
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -216,29 +216,57 @@ def _star(texts: DataFrame, shared: DataFrame, k: int, least: float) -> DataFram
     return stash(rows.mapInPandas(_verify(k, least), "a long, b long"))
 
 
+def _common(k: int, most: int = 1 << 23):
+    """What the texts of a sample of a group have in common: the features that two or more of them hold, with their numbers of texts,
+    and the group's sizes as they came. Texts are read until they hold `most` bytes."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        read = np.cumsum([len(t) for t in x.text]) - [len(t) for t in x.text] < most
+        f, n = np.unique(np.concatenate([_features(t, k) for t in x.text[read]]), return_counts=True)
+        return pd.DataFrame({"leader": x.leader.iloc[:1], "common": [f[n > 1].tobytes()], "counts": [n[n > 1].astype(np.int64).tobytes()], "sizes": x.sizes.iloc[:1]})
+
+    return run
+
+
+def _least_partner(n: int, sizes: np.ndarray, least: float) -> float:
+    """The smallest size that a text similar to one of n features, and no longer, may have. sizes holds the smallest and the largest
+    size, in turn, of parts of the group."""
+    low = least * n
+    fit = sizes[::2][sizes[1::2] >= low]
+    return min(max(low, fit.min()), n) if len(fit) else low
+
+
 def _prefix(k: int, least: float):
     """(leader, doc_id, label, feature, short) for each member of a leader's buckets: the features of which two texts of similarity
     `least` share one.
 
-    Let x and y be such texts, x no shorter than y, in any order of features that is the same for both. They share least * |x|
-    features and 2 * least / (1 + least) * |y|, so one of the first |x| - ceil(least * |x|) + 1 of x is among the first
-    |y| - ceil(2 * least / (1 + least) * |y|) + 1 of y; the latter are marked `short`. Features that the leader lacks come first.
-    Rows come as in `_verify`; a leader's own text yields nothing, since it has been compared with all.
+    Let x and y be such texts, x no shorter than y, in any order of features that is the same for both. They share
+    least / (1 + least) * (|x| + |y|) features, where |y| is least * |x| or more and no less than the smallest such size in the group,
+    and so 2 * least / (1 + least) * |y|. With these numbers, one of the first |x| - ceil(shared) + 1 of x is among the first
+    |y| - ceil(shared) + 1 of y; the latter are marked `short`. Features that fewer texts of the group's sample hold come first, so
+    that texts which differ from the group by more than the similarity permits meet by what they have beside it only.
+    Rows come as in `_verify`; the row whose doc_id is the leader heads the group and yields nothing. It holds what `_common`
+    found or, without that, a text that has been compared with all.
     """
 
     def run(batches):
-        last, common = None, np.empty(0, _U)
+        last, common, counts, sizes = None, np.empty(0, _U), np.empty(0, np.int64), np.empty(0)
         for x in batches:
             out = [(np.empty(0, np.int64),) * 4 + (np.empty(0, bool),)]
-            for leader, shard, doc, label, text in zip(x.leader, x.shard, x.doc_id, x.label, x.text):
+            found = zip(x.common, x.counts, x.sizes) if "common" in x else [(None, None, None)] * len(x)
+            for leader, shard, doc, label, text, (known, texts, has) in zip(x.leader, x.shard, x.doc_id, x.label, x.text, found):
                 if (leader, shard) != last:
-                    last, common = (leader, shard), np.empty(0, _U)
-                f = _features(text, k)
-                if doc == leader:
-                    common = np.union1d(common, f)
-                elif n := len(f):
-                    order = np.lexsort((f, np.isin(f, common)))
-                    long, short = (n - math.ceil(share * n - 1e-9) + 1 for share in (least, 2 * least / (1 + least)))
+                    last, common, counts, sizes = (leader, shard), np.empty(0, _U), np.empty(0, np.int64), np.empty(0)
+                if doc == leader and known is not None:
+                    common, counts, sizes = np.frombuffer(known, _U), np.frombuffer(texts, np.int64), np.array(has, np.float64)
+                elif doc == leader:
+                    common = np.union1d(common, _features(text, k))
+                    counts = np.ones(len(common), np.int64)
+                elif n := len(f := _features(text, k)):
+                    at = np.minimum(np.searchsorted(common, f), max(len(common) - 1, 0))
+                    order = np.lexsort((f, np.where(common[at] == f, counts[at], 0) if len(common) else f))
+                    both = least / (1 + least) * (n + _least_partner(n, sizes, least)), 2 * least / (1 + least) * n
+                    long, short = (n - math.ceil(share - 1e-9) + 1 for share in both)
                     out.append((np.full(long, leader), np.full(long, doc), np.full(long, label), f[order[:long]].view(np.int64), np.arange(long) < short))
             yield pd.DataFrame({name: np.concatenate(c) for name, c in zip(("leader", "doc_id", "label", "feature", "short"), zip(*out))})
 
@@ -253,29 +281,101 @@ def _mixed(members: DataFrame) -> DataFrame:
     return sums.filter("strays > 0")
 
 
-def _one_for_leader(members: DataFrame) -> DataFrame:
+def _one_for_leader(members: DataFrame, by: str = "leader") -> DataFrame:
     """members (bucket, leader, doc_id, label, main, n, strays) where the buckets of a leader are one, if that takes no more comparisons
-    than bucket by bucket. The bands of one group of near copies are many buckets of nearly the same texts, and a pair met in each."""
-    apart = members.groupBy("leader", "bucket").agg(F.first(F.col("n") * F.col("strays")).alias("pairs")).groupBy("leader").agg(F.sum("pairs").alias("apart"), F.count("*").alias("buckets")).filter("buckets > 1")
-    docs = stash(join_split(members, apart, ["leader"]).select("leader", "doc_id", "label").distinct())
-    classes = docs.groupBy("leader", "label").agg(F.count("*").alias("n"))
-    sums = classes.groupBy("leader").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("strays"))
-    one = stash(sums.join(apart, "leader").filter("n * strays <= apart").select("leader", "main", "n", "strays"))
-    whole = join_split(docs, one, ["leader"]).withColumn("bucket", F.xxhash64("leader"))
-    return join_split(members, one.select("leader"), ["leader"], "left_anti").unionByName(whole)
+    than bucket by bucket. The bands of one group of near copies are many buckets of nearly the same texts, and a pair met in each.
+    By `main` the same is done with all buckets that have the same largest class; a number of their own is their leader."""
+    apart = members.groupBy(by, "bucket").agg(F.first(F.col("n") * F.col("strays")).alias("pairs")).groupBy(by).agg(F.sum("pairs").alias("apart"), F.count("*").alias("buckets")).filter("buckets > 1")
+    docs = stash(join_split(members, apart, [by]).select(F.col(by).alias("group"), "doc_id", "label").distinct())
+    classes = docs.groupBy("group", "label").agg(F.count("*").alias("n"))
+    sums = classes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("strays"))
+    one = stash(sums.join(apart.withColumnRenamed(by, "group"), "group").filter("n * strays <= apart").select("group", "main", "n", "strays"))
+    bucket = F.xxhash64("group") if by == "leader" else F.xxhash64("group", F.lit(by))
+    whole = join_split(docs, one, ["group"]).withColumn("bucket", bucket)
+    whole = whole.withColumn("leader", F.col("group") if by == "leader" else F.col("bucket")).drop("group")
+    return join_split(members, one.select(F.col("group").alias(by)), [by], "left_anti").unionByName(whole)
+
+
+def _headed(texts: DataFrame, big: DataFrame, k: int, sample: int = 32, shard: int = 512) -> DataFrame:
+    """Rows for `_prefix`: the members of groups (leader, doc_id, label) with their texts, dealt to shards; each shard is headed by what
+    about `sample` of the group's texts have in common. The sample settles an order of features only; every order gives the same links."""
+    groups = stash(big.groupBy("leader").agg(F.count("*").alias("n")))
+    place = F.xxhash64("doc_id", F.lit("sample"))
+    members = join_split(big, groups, ["leader"]).select("leader", "doc_id", "label", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / shard)).cast("int").alias("shard"), (F.pmod(place, F.ceil(F.col("n") / sample)) == 0).alias("sampled"))
+    rows = stash(texts.join(members, "doc_id").select("leader", "shard", "doc_id", "label", "text", "sampled"))
+    size = F.greatest(F.lit(1), n_words(F.col("text").cast("string")) - k + 1)
+    sizes = rows.select("leader", size.alias("size")).groupBy("leader", F.floor(20 * F.log("size")).alias("step")).agg(F.array(F.min("size"), F.max("size")).alias("ends"))
+    sizes = sizes.groupBy("leader").agg(F.flatten(F.collect_list("ends")).alias("sizes"))
+    found = join_split(rows.filter("sampled"), sizes, ["leader"]).select("leader", "text", "sizes").groupBy("leader")
+    found = found.applyInPandas(_common(k), "leader long, common binary, counts binary, sizes array<long>")
+    shards = groups.select("leader", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / shard) - 1).cast("int"))).alias("shard"))
+    heads = shards.join(found, "leader").select("leader", "shard", F.col("leader").alias("doc_id"), F.col("leader").alias("label"), F.lit(None).cast("binary").alias("text"), "common", "counts", "sizes")
+    return rows.drop("sampled").unionByName(heads, allowMissingColumns=True)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("leader", "shard").sortWithinPartitions("leader", "shard", F.col("doc_id") != F.col("leader"))
 
 
-def _fallen_apart(texts: DataFrame, tagged: DataFrame, mixed: DataFrame, k: int, least: float, large: int) -> DataFrame:
-    """bucket, doc_id, label, main: the members of mixed buckets, where large buckets are replaced by groups of documents that share a
-    feature of `_prefix`. Both hold every pair that may be linked; a leader's buckets stay whole where groups would need more
-    comparisons."""
-    members = stash(_one_for_leader(stash(join_split(tagged, mixed, ["bucket"]))))
+def _from_middle(k: int):
+    """(leader, doc_id, label, far): in how many features each member of `_headed`'s groups differs from what most of the sample hold."""
+
+    def run(batches):
+        last, middle = None, np.empty(0, _U)
+        for x in batches:
+            far = []
+            for leader, shard, doc, text, known, texts in zip(x.leader, x.shard, x.doc_id, x.text, x.common, x.counts):
+                if (leader, shard) != last:
+                    last, middle = (leader, shard), np.empty(0, _U)
+                if doc == leader and known is not None:
+                    counts = np.frombuffer(texts, np.int64)
+                    middle = np.frombuffer(known, _U)[2 * counts > counts.max(initial=0)]
+                    far.append(-1)
+                else:
+                    f = _features(text, k)
+                    far.append(len(f) + len(middle) - 2 * len(np.intersect1d(f, middle, assume_unique=True)))
+            far = np.array(far, np.int64)
+            yield pd.DataFrame({"leader": x.leader, "doc_id": x.doc_id, "label": x.label, "far": far})[far >= 0]
+
+    return run
+
+
+def _middle_links(texts: DataFrame, rows: DataFrame, big: DataFrame, k: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of the members of `_headed`'s groups to the group's middle, the member that differs least from what most have in
+    common, and (node, label), the labels that become one by them. A bucket's leader may be any text; of a group of copies
+    that each differ from one text in some places, the middle is similar to nearly all that are similar to any."""
+    middles = stash(_dealt(rows).mapInPandas(_from_middle(k), "leader long, doc_id long, label long, far long"))
+    middles = middles.groupBy("leader").agg(F.min_by(F.struct("doc_id", "label"), F.struct("far", "doc_id")).alias("middle"))
+    pairs = join_split(big, middles, ["leader"]).filter("label <> middle.label")
+    pairs = stash(pairs.select("doc_id", F.col("middle.doc_id").alias("leader"), "label", F.col("middle.label").alias("main")).distinct())
+    links = _star(texts, pairs, k, least)
+    classes = links.join(pairs, (F.col("a") == F.col("doc_id")) & (F.col("b") == F.col("leader"))).select(F.col("label").alias("a"), F.col("main").alias("b"))
+    return links, connected(classes)
+
+
+def _large(members: DataFrame, large: int) -> DataFrame:
+    """leader, pairs: the comparisons within the buckets of each leader that has a bucket of over `large` documents."""
     whole = members.groupBy("bucket", "leader").agg(F.first("n").alias("n"), F.first("strays").alias("strays"))
-    whole = whole.groupBy("leader").agg(F.sum(F.col("n") * F.col("strays")).alias("pairs"), F.max("n").alias("n")).filter(F.col("n") > large)
-    big = stash(join_split(members, whole.select("leader", "pairs"), ["leader"]).select("leader", "doc_id", "label").distinct())
+    return whole.groupBy("leader").agg(F.sum(F.col("n") * F.col("strays")).alias("pairs"), F.max("n").alias("n")).filter(F.col("n") > large).drop("n")
+
+
+def _fallen_apart(texts: DataFrame, tagged: DataFrame, mixed: DataFrame, k: int, least: float, large: int) -> tuple[DataFrame, DataFrame | None]:
+    """bucket, doc_id, label, main: the members of mixed buckets, where large buckets are replaced by groups of documents that share a
+    feature of `_prefix`, and the links (a, b) to the middles of large buckets, which labels hold already. Buckets and groups hold every
+    other pair that may be linked; a leader's buckets stay whole where groups would need more comparisons."""
+    members = stash(_one_for_leader(stash(join_split(tagged, mixed, ["bucket"])), "main"))
+    members = stash(_one_for_leader(members))
+    big = stash(join_split(members, _large(members, large), ["leader"]).select("leader", "doc_id", "label").distinct())
     if big.isEmpty():
-        return members.select("bucket", "doc_id", "label", "main")
-    features = _beside_leader(texts, big).mapInPandas(_prefix(k, least), "leader long, doc_id long, label long, feature long, short boolean")
+        return members.select("bucket", "doc_id", "label", "main"), None
+    rows = _headed(texts, big, k)
+    links, labels = _middle_links(texts, rows, big, k, least)
+    labels = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    relabelled = lambda x: x.join(labels, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+    members = stash(relabelled(members.drop("main", "n", "strays")))
+    members = stash(join_split(members, _mixed(members), ["bucket"]))
+    whole = stash(_large(members, large))
+    features = relabelled(_dealt(rows.join(whole.select("leader"), "leader", "left_semi")).mapInPandas(_prefix(k, least), "leader long, doc_id long, label long, feature long, short boolean"))
     features = stash(features.withColumn("bucket", F.xxhash64("leader", "feature")).drop("feature"))
     classes = features.groupBy("leader", "bucket", "label").agg(F.count("*").alias("n"), F.max("short").alias("short"))
     groups = classes.groupBy("leader", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("strays"), F.max("short").alias("short"))
@@ -285,7 +385,7 @@ def _fallen_apart(texts: DataFrame, tagged: DataFrame, mixed: DataFrame, k: int,
     fallen = stash(fallen)
     stay = join_split(members, fallen, ["leader"], "left_anti").select("bucket", "doc_id", "label", "main")
     chosen = stash(groups.join(fallen, "leader", "left_semi").select("bucket", "main"))
-    return stay.union(join_split(features, chosen, ["bucket"]).select("bucket", "doc_id", "label", "main").distinct())
+    return stay.union(join_split(features, chosen, ["bucket"]).select("bucket", "doc_id", "label", "main").distinct()), links
 
 
 def _stray_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: DataFrame, k: int, least: float, block: int, most: int) -> DataFrame:
@@ -294,8 +394,8 @@ def _stray_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes:
     of it, in cells of two blocks of about `block` bytes and `most` texts."""
     tagged = shared.filter("doc_id <> leader").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     tagged = stash(tagged.select("bucket", "leader", "doc_id", F.coalesce("label", "doc_id").alias("label")))
-    members = _distinct_sets(stash(_fallen_apart(texts, tagged, _mixed(tagged), k, least, 2 * most))).join(sizes, "doc_id")
-    members = stash(members)
+    members, links = _fallen_apart(texts, tagged, _mixed(tagged), k, least, 2 * most)
+    members = stash(_distinct_sets(stash(members)).join(sizes, "doc_id"))
     stray = F.col("label") != F.col("main")
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(size), F.lit(0)) / block), F.ceil(F.count(size) / most)).cast("int")
     counts = members.groupBy("bucket").agg(blocks(F.col("size")).alias("all_blocks"), blocks(F.when(stray, F.col("size"))).alias("stray_blocks"))
@@ -305,7 +405,8 @@ def _stray_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes:
     every = members.select("bucket", each("stray_blocks").alias("i"), place("all_blocks").alias("j"), F.lit(False).alias("stray"), "doc_id", "label")
     strays = members.filter(stray).select("bucket", place("stray_blocks").alias("i"), each("all_blocks").alias("j"), F.lit(True).alias("stray"), "doc_id", "label")
     cells = texts.join(every.union(strays), "doc_id")
-    return stash(cells.groupBy("bucket", "i", "j").applyInPandas(_cell(k, least), "a long, b long").distinct())
+    found = cells.groupBy("bucket", "i", "j").applyInPandas(_cell(k, least), "a long, b long")
+    return stash((found.union(links) if links else found).distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 32, rows: int = 6, block: int = 4_000_000, most: int = 128) -> DataFrame:

@@ -188,3 +188,36 @@ def test_buckets_of_a_leader_are_compared_once(spark):
     assert len([r for r in rows if r.leader == 1]) == 60 and len({r.bucket for r in rows if r.leader == 1}) == 1
     assert {(r.n, r.strays, r.main) for r in rows if r.leader == 1} == {(60, 10, 1)}
     assert {r.bucket for r in rows if r.leader == 500} == {106, 107} and len([r for r in rows if r.leader == 500]) == 199
+
+
+def test_middles_link_what_leaders_leave(spark, monkeypatch):
+    """Texts with one passage in common, more or less of their own, and leaders with most of it: what leaders leave is linked by the
+    group's middle, few comparisons remain, and classes are those of all pairs."""
+    from pyspark.sql import functions as F
+
+    from loamline.llm import near_dedup
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    passage = [word() for _ in range(300)]
+    own = [80] * 40 + [r.randint(1, 70) for _ in range(160)]
+    table = [(i, " ".join([*passage, *(word() for _ in range(n))])) for i, n in enumerate(own)]
+    seen, whole = [], near_dedup._distinct_sets
+
+    def kept(members):
+        if "main" in members.columns:
+            seen.append(members)
+        return whole(members)
+
+    monkeypatch.setattr(near_dedup, "_distinct_sets", kept)
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs, most=16).collect()}
+    bags = [near_dedup.shingles(t.encode()) for _, t in table]
+    root = list(range(len(table)))
+    for i in range(len(table)):
+        for j in range(i + 1, len(table)):
+            if root[i] != root[j] and near_dedup.similarity(bags[i], bags[j]) >= 0.8:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    assert got == dict(enumerate(root)) and len(set(root)) > 40
+    work = sum(x.n * x.s for x in seen[0].groupBy("bucket").agg(F.count("*").alias("n"), F.sum((F.col("label") != F.col("main")).cast("int")).alias("s")).collect())
+    assert work <= 4 * len(table)
