@@ -375,7 +375,8 @@ def _fallen_apart(texts: DataFrame, tagged: DataFrame, mixed: DataFrame, k: int,
     members = stash(relabelled(members.drop("main", "n", "strays")))
     members = stash(join_split(members, _mixed(members), ["bucket"]))
     whole = stash(_large(members, large))
-    features = relabelled(_dealt(rows.join(whole.select("leader"), "leader", "left_semi")).mapInPandas(_prefix(k, least), "leader long, doc_id long, label long, feature long, short boolean"))
+    rows = _dealt(relabelled(rows.join(whole.select("leader"), "leader", "left_semi")))
+    features = rows.mapInPandas(_prefix(k, least), "leader long, doc_id long, label long, feature long, short boolean")
     features = stash(features.withColumn("bucket", F.xxhash64("leader", "feature")).drop("feature"))
     classes = features.groupBy("leader", "bucket", "label").agg(F.count("*").alias("n"), F.max("short").alias("short"))
     groups = classes.groupBy("leader", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("strays"), F.max("short").alias("short"))
