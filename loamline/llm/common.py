@@ -47,6 +47,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def small_bytes(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB where the session has Spark's default of 64 MB, for rows that each hold a large block: a batch is held
+    several times over. Results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64MB", "67108864b"):
+        spark.conf.set(key, "8MB")
+
+
 def spread(df: DataFrame, *order) -> DataFrame:
     """df stashed in the order of the columns, with the number `part` of the partition that holds the row: every row of
     a part comes before every row of a later one, so that ranks and running sums need windows within parts only."""

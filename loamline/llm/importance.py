@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import earlier, small_batches, spread, stash
+from .common import earlier, small_batches, small_bytes, spread, stash
 
 BUCKETS = 10_000
 #: Bytes of words: digits, letters and whatever is not ASCII. A-Z become a-z, all other ASCII bytes a blank.
@@ -114,9 +114,7 @@ def csr(texts: DataFrame) -> DataFrame:
     """texts (doc_id, text) as written CSR blocks: in each, documents with their number of words, where their counts start, and buckets
     with counts. Null text is empty; ids pass as strings, since a null would turn longs into doubles."""
     small_batches(texts.sparkSession)
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"  # a block is large: batches of Spark's default of 64 MB are held several times over
-    if texts.sparkSession.conf.get(key) in ("64MB", "67108864b"):
-        texts.sparkSession.conf.set(key, "8MB")
+    small_bytes(texts.sparkSession)
     rows = texts.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return stash(rows.mapInPandas(_blocks(), _CSR))
 

@@ -126,6 +126,20 @@ def test_tiles_of_large_products():
     assert scores.tolist() == [[(2**40 + i) * (2**20 + 1) - 3 * 2**20] for i in range(2)] and positives.tolist() == [[9, 2**62]] * 2
 
 
+def test_hard_negatives_shuffle_grows_with_the_rows(spark):
+    """Scores and copies of vectors stay in the tasks that multiply them: over twice the rows, four times the pairs, about twice as much is shuffled."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    rng, took = np.random.default_rng(3), []
+    for n in (2000, 4000):
+        v = rng.normal(0, 0.4, (n, 16)).astype(np.float32)
+        before = written()
+        frame = vectors_of(spark, [(i, int(rng.integers(4)), [float(x) for x in v[i]]) for i in range(n)])
+        assert hard_negatives.mine(frame, every=5, block=32, chunk=8).count() > n // 5
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        took.append(written() - before)
+    assert took[0] > 0 and took[1] < 2.6 * took[0]
+
+
 # ---------------------------------------------------------------- 13
 
 
