@@ -31,11 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stash(df: DataFrame, path: str | None = None) -> DataFrame:
+def stash(df: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write to the shared folder and read back, so that lineage is cut and a lost executor costs no recomputation. A given
-    path is written over."""
+    path is written over; options are the Parquet writer's."""
     path = path or f"{shared_dir(df.sparkSession)}/stash/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

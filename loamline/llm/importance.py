@@ -24,7 +24,10 @@ BUCKETS = 10_000
 #: Bytes of words: digits, letters and whatever is not ASCII. A-Z become a-z, all other ASCII bytes a blank.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Columns of a CSR block, each the bytes of a numpy array: a Parquet reader would unfold Spark arrays of this length in memory.
-_TYPES = {"doc_id": "<i8", "known": "?", "n_words": "<i4", "start": "<i4", "bucket": "<u2", "count": "<u4"}
+_TYPES = {"doc_id": "<i8", "known": "?", "n_words": "<i4", "start": "<i4", "bucket": "<u2", "count": "u1"}
+_MOST = 255  # of a count; what a bucket has beyond it stands in further entries
+#: A reader holds a row group as written, unfolded and as rows at once, and rows of this size fill the writer's default of 128 MB.
+_GROUPS = {"parquet.block.size": 2 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8, "parquet.enable.dictionary": "false"}
 _CSR = ", ".join(f"{name} binary" for name in _TYPES)
 
 
@@ -88,8 +91,10 @@ def _blocks(remember: int = 100_000, chunk: int = 20_000):
         words = np.fromiter((w for t in texts for w in t), np.int64)
         owner, crc = grams(words, np.repeat(np.arange(len(texts)), [len(t) for t in texts]), joiner)
         at, count = np.unique(owner * BUCKETS + crc % np.uint32(BUCKETS), return_counts=True)
+        times = -(-count // _MOST)
+        at, count = np.repeat(at, times), np.repeat(count, times) - _MOST * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
         start = np.searchsorted(at, np.arange(len(texts) + 1) * BUCKETS)
-        row = ([0 if pd.isna(i) else int(i) for i in ids], [not pd.isna(i) for i in ids], [len(t) for t in texts], start, at % BUCKETS, count)
+        row = ([0 if pd.isna(i) else int(i) for i in ids], [not pd.isna(i) for i in ids], [len(t) for t in texts], start, at % BUCKETS, np.minimum(count, _MOST))
         return pd.DataFrame({name: [np.asarray(x).astype(kind).tobytes()] for (name, kind), x in zip(_TYPES.items(), row)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +121,7 @@ def csr(texts: DataFrame) -> DataFrame:
     small_batches(texts.sparkSession)
     small_bytes(texts.sparkSession)
     rows = texts.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return stash(rows.mapInPandas(_blocks(), _CSR))
+    return stash(rows.mapInPandas(_blocks(), _CSR), **_GROUPS)
 
 
 def _arrays(blocks: pd.DataFrame) -> Iterator[list[np.ndarray]]:
@@ -174,7 +179,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     gain = gains(column_sums(blocks), column_sums(csr(target)))
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / 4294967296.0)))
-    rows = weights(blocks, gain).withColumn("score", (F.col("weight") + noise).cast("long")).withColumn("fits", F.col("n_words") >= least_words)
+    rows = stash(weights(blocks, gain))  # the range sort reads its rows twice
+    rows = rows.withColumn("score", (F.col("weight") + noise).cast("long")).withColumn("fits", F.col("n_words") >= least_words)
     rows = spread(rows, F.desc("fits"), F.desc("score"), F.col("doc_id").asc_nulls_last())
     drawn = rows.filter("fits").count() * percent // 100
     before = earlier(rows.withColumn("one", F.col("fits").cast("long")), before="one")

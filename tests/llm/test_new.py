@@ -182,6 +182,18 @@ def test_importance(spark):
     assert Counter(map(tuple, alone)) == brute_resample(docs, [])
 
 
+def test_csr_blocks_are_read_in_small_groups(spark):
+    """However many blocks a file has, few are read at a time."""
+    import pyarrow.parquet as pq
+
+    r = random.Random(8)
+    frame = spark.createDataFrame([(i, " ".join(str(r.randrange(10**6)) for _ in range(100))) for i in range(6000)], "doc_id long, text string").coalesce(1)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in importance.csr(frame).inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 30 and len(groups) >= 3
+    assert max(g.total_byte_size for g in groups) < 4 << 20
+
+
 def test_crc_of_joined_strings():
     joiner = importance._Joiner(8)
     pairs = [(R.randbytes(R.randint(0, 30)), R.randbytes(n)) for n in (0, 1, 2, 7, 8, 9, 40, 300)]
